@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, pii
+from . import bpe, langid, pii, rulefit, rules
 
 
 def queries():
-    return {"op1_pii": pii.op1_pii, "op3_bpe": bpe.op3_bpe}
+    return {"op1_pii": pii.op1_pii, "op3_bpe": bpe.op3_bpe, "op4_langid": langid.op4_langid, "op5_rulefit": rulefit.op5_rulefit, "op9_rules": rules.op9_rules}
 
 
 def oracle_sql():
