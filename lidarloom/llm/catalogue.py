@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, pii, rulefit, rules
+from . import bpe, langid, packing, pii, rulefit, rules, simhash
 
 
 def queries():
-    return {"op1_pii": pii.op1_pii, "op3_bpe": bpe.op3_bpe, "op4_langid": langid.op4_langid, "op5_rulefit": rulefit.op5_rulefit, "op9_rules": rules.op9_rules}
+    return {
+        "op1_pii": pii.op1_pii,
+        "op2_packing": packing.op2_packing,
+        "op3_bpe": bpe.op3_bpe,
+        "op4_langid": langid.op4_langid,
+        "op5_rulefit": rulefit.op5_rulefit,
+        "op7_simhash": simhash.op7_simhash,
+        "op9_rules": rules.op9_rules,
+    }
 
 
 def oracle_sql():
