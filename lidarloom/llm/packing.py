@@ -28,11 +28,11 @@ from .common import cut, ship, table
 
 CAPACITY, END = 4096, 2
 SALTS = 256
-#: Entries of a worker's cache of encoded words; it is emptied when full.
-CACHE = 700_000
-PLAIN = re.compile("([a-zA-ZÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
+#: Entries of each generation of a worker's two caches.
+CACHE = 250_000
+PLAIN = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: White space to str.split(), but not to the tokenizer's pattern.
-ODD = re.compile("[\x1c-\x1f]")
+ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def tokenizer_path() -> str:
@@ -41,6 +41,31 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Recent:
+    """A bounded cache of two generations: entries that aren't asked for while the young one fills up are dropped."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys) -> list:
+        """Those of the keys that aren't known; the others are in the young generation afterwards."""
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
+    def add(self, made: dict) -> None:
+        self.young.update(made)
+
+    def age(self) -> None:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
@@ -53,32 +78,52 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words, self.plain = Recent(CACHE), Recent(CACHE)
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: list[str]) -> None:
-        known = self.words
-        if len(known) > CACHE:
-            known.clear()
-            chunks = list(set(chunks))
-        halves = {c: m.groups() for c in chunks if c not in known and (m := PLAIN.fullmatch(c)) and m[2]}
-        new = {c for c in chunks if c not in known and c not in halves} | {x for h in halves.values() for x in h if x not in known}
-        new = list(new)
-        known.update(zip(new, self.raw(new), strict=True))
-        known.update({c: known[a] + known[b] for c, (a, b) in halves.items()})
+    def encode_plain(self, words: list[str]) -> dict[str, bytes]:
+        """Lower-case words of letters: each is one match, whose last id ends a word, so that they can be encoded in one go."""
+        ids = np.frombuffer(self.raw([" ".join(words)])[0], "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) != len(words):
+            return dict(zip(words, self.raw(words), strict=True))
+        row = ids.tobytes()
+        return dict(zip(words, [row[s:e] for s, e in zip([0, *ends.tolist()], ends.tolist(), strict=False)], strict=True))
+
+    def encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of words with the marks around them. A plain word is remembered apart from the marks after it."""
+        halves, others = {}, []
+        for c in chunks:
+            if m := PLAIN.fullmatch(c):
+                halves[c] = (m[1].lower(), m[2])
+            else:
+                others.append(c)
+        made = dict(zip(others, self.raw(others), strict=True)) if others else {}
+        self.plain.age()
+        if new := self.plain.missing({w for w, _ in halves.values()}):
+            self.plain.add(self.encode_plain(new))
+        marks = list({x for _, x in halves.values()} - {""})
+        tails = (dict(zip(marks, self.raw(marks), strict=True)) if marks else {}) | {"": b""}
+        plain = self.plain.young
+        made.update({c: plain[w] + tails[x] for c, (w, x) in halves.items()})
+        return made
 
     def encode(self, text: str) -> bytes:
-        if ODD.search(text):
+        if any(x in text for x in ODD):
             return self.raw([text])[0]
         chunks = text.split()
-        get = self.words.__getitem__
-        try:
-            return b"".join(map(get, chunks))
-        except KeyError:
-            self.learn(chunks)
-            return b"".join(map(get, chunks))
+        self.words.age()
+        ids = list(map(self.words.young.get, chunks))
+        if lost := {c for c, x in zip(chunks, ids, strict=True) if x is None}:
+            if new := self.words.missing(lost):
+                self.words.add(self.encode_chunks(new))
+            ids = map(self.words.young.__getitem__, chunks)
+        return b"".join(ids)
 
 
 @lru_cache(maxsize=2)
