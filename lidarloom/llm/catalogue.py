@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing, pii, rulefit, rules, simhash
+from . import bpe, langid, multiindex, packing, pii, rulefit, rules, simhash
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op5_rulefit": rulefit.op5_rulefit,
         "op7_simhash": simhash.op7_simhash,
         "op9_rules": rules.op9_rules,
+        "op10_multiindex": multiindex.op10_multiindex,
     }
 
 
