@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, multiindex, packing, pii, rulefit, rules, simhash
+from . import bpe, langid, multiindex, packing, pii, rulefit, rules, simhash, suffixes
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_bpe": bpe.op3_bpe,
         "op4_langid": langid.op4_langid,
         "op5_rulefit": rulefit.op5_rulefit,
+        "op6_suffixes": suffixes.op6_suffixes,
         "op7_simhash": simhash.op7_simhash,
         "op9_rules": rules.op9_rules,
         "op10_multiindex": multiindex.op10_multiindex,
