@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ship, table
+from .common import cut_table, ship, table
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text worked on at once; a longer text is worked on in parts that overlap by a window less one byte.
@@ -193,15 +193,19 @@ class Queue:
 
     def pop(self, value: int) -> Iterator[np.ndarray]:
         """All entries of a value, those pushed meanwhile included."""
-        mine = self.chunks[value]
-        while mine:
-            x = mine.pop(0)
-            if isinstance(x, tuple):
-                self.file.seek(x[0])
-                x = np.frombuffer(self.file.read(8 * x[1]), np.int64)
-            else:
-                self.held -= x.nbytes
-            yield x
+        while mine := self.chunks[value]:
+            self.chunks[value], parts = [], []
+            for x in mine:
+                if isinstance(x, tuple):
+                    self.file.seek(x[0])
+                    x = np.frombuffer(self.file.read(8 * x[1]), np.int64)
+                    yield from [np.concatenate(parts)] if parts else []
+                    parts = []
+                    yield x
+                else:
+                    self.held -= x.nbytes
+                    parts.append(x)
+            yield from [np.concatenate(parts)] if parts else []
 
     def close(self) -> None:
         if self.file:
@@ -218,13 +222,11 @@ def suffix_order(t: np.ndarray, depth: int, memory: int = 256 << 20) -> np.ndarr
     if n < 2:
         return np.arange(n)
     diff = np.flatnonzero(t[1:] != t[:-1])
-    nxt = np.searchsorted(diff, np.arange(n))
     small = np.zeros(n, bool)  # S: smaller than the suffix after it; the end counts as smaller than any value
-    inner = nxt < len(diff)
-    at = diff[nxt[inner]]
-    small[inner] = t[at] < t[at + 1]
+    if len(diff):
+        small[: diff[-1] + 1] = np.repeat(t[diff] < t[diff + 1], np.diff(np.append(-1, diff)))
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    order = _name_order(2 * t + small, lms, depth)
+    order = _name_order(2 * t.astype(np.int64) + small, lms, depth)
     seeds = lms[order]
     head = t[seeds]
     bounds = np.searchsorted(head, np.arange(258))
@@ -267,69 +269,86 @@ def _name_order(t: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
     m = len(lms)
     if m < 2:
         return np.arange(m)
-    ends = np.append(lms[1:] + 1, len(t))
-    raw = (t + 1).astype(">u2").tobytes()
-    keys = np.array([raw[2 * s : 2 * e] for s, e in zip(lms.tolist(), ends.tolist(), strict=True)], dtype=object)
-    kinds = {k: i for i, k in enumerate(sorted(set(keys.tolist())))}
-    rank = np.array([kinds[k] for k in keys.tolist()], np.int64)
+    sizes = np.minimum(np.append(lms[1:] + 1, len(t)) - lms, depth + 1)
+    rank, live, at = np.zeros(m, np.int64), np.arange(m), 0
+    while len(live):  # six values at a time
+        key = np.zeros(len(live), np.int64)
+        for k in range(at, at + 6):
+            inside = k < sizes[live]
+            key = key << 10 | np.where(inside, t[np.minimum(lms[live] + k, len(t) - 1)] + 1, 0)
+        part = np.zeros(m, np.int64)
+        part[live] = _dense(key) + 1
+        rank = _dense(rank * (len(live) + 2) + part)
+        at += 6
+        live = live[sizes[live] > at]
     step = 1
-    while step <= depth and rank.max() + 1 < m:
-        second = np.full(m, -1, np.int64)
-        second[:-step] = rank[step:]
-        order = np.lexsort((second, rank))
-        a, b = rank[order], second[order]
-        new = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
-        if new[-1] == rank.max():
-            rank[order] = new
+    while step < m and step <= depth and rank.max() + 1 < m:
+        second = np.zeros(m, np.int64)
+        second[:-step] = rank[step:] + 1
+        new = _dense(rank * (m + 1) + second)
+        if new.max() == rank.max():
             break
-        rank[order] = new
+        rank = new
         step *= 2
-        if step >= m:
-            break
     return np.argsort(rank, kind="stable")
 
 
+def _dense(key: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct keys."""
+    order = np.argsort(key)
+    sorted_ = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
+    return out
+
+
 def equal_windows(rows: list[tuple[int, int, int, int, bytes]], length: int = LENGTH) -> list[tuple[int, int, int, int]]:
     """rows: document, twin, first and last window, bytes of a record. Windows that equal an earlier one: document, twin, first, last."""
     sizes = np.array([len(r[4]) + 1 for r in rows], np.int64)
     starts = np.cumsum(sizes) - sizes
-    t = np.zeros(int(sizes.sum()), np.int64)  # records end in value 0, bytes are one more
     flat = np.frombuffer(b"\0".join([r[4] for r in rows]) + b"\0", np.uint8)
-    t[:] = flat
-    t += 1
+    t = flat.astype(np.int16) + np.int16(1)  # records end in value 0, bytes are one more
     t[starts + sizes - 1] = 0
     counts = np.array([r[3] - r[2] + 1 for r in rows], np.int64)
-    wanted = np.zeros(len(t), bool)
-    for s, c in zip(starts.tolist(), counts.tolist(), strict=True):
-        wanted[s : s + c] = True
+    edge = np.zeros(len(t) + 1, np.int8)
+    edge[starts] += 1
+    edge[starts + counts] -= 1
     order = suffix_order(t, length)
-    order = order[wanted[order]]
+    order = order[np.cumsum(edge[:-1]).astype(bool)[order]]
     same = np.zeros(len(order), bool)
-    for at in range(1, len(order), 65536):
-        b = order[at : at + 65536]
+    if length >= 8:
+        word = np.zeros(max(len(flat) - 7, 0), np.uint64)
+        for k in range(8):
+            word |= flat[k : k + len(word)].astype(np.uint64) << np.uint64(8 * k)
+        steps, value = [*range(0, length - 8, 8), length - 8], word
+    else:
+        steps, value = range(length), flat
+    for at in range(1, len(order), 1 << 17):
+        b = order[at : at + (1 << 17)]
         a = order[at - 1 : at - 1 + len(b)]
         alive = np.arange(len(b))
-        for k in range(0, length, 10):
-            cols = np.arange(k, min(k + 10, length))
-            alive = alive[(t[a[alive][:, None] + cols] == t[b[alive][:, None] + cols]).all(1)]
+        for k in steps:
+            alive = alive[value[a[alive] + k] == value[b[alive] + k]]
         same[at + alive] = True
-    group = np.cumsum(~same)
     row = np.searchsorted(starts, order, side="right") - 1
     doc = np.array([r[0] for r in rows], np.int64)[row]
     place = np.array([r[2] for r in rows], np.int64)[row] + order - starts[row]
+    group = np.cumsum(~same)
     by = np.lexsort((place, doc, group))
     g, doc, place, row = group[by], doc[by], place[by], row[by]
-    head = np.repeat(np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])), np.diff(np.append(np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])), len(g)))) if len(g) else g
+    if not len(g):
+        return []
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    head = np.repeat(first, np.diff(np.append(first, len(g))))
     later = np.flatnonzero((doc != doc[head]) | (place != place[head]))
-    later = later[np.lexsort((place[later], row[later]))]
-    out: list[tuple[int, int, int, int]] = []
-    for r, p in zip(row[later].tolist(), place[later].tolist(), strict=True):
-        if out and prev == r and out[-1][3] == p - 1:
-            out[-1] = (*out[-1][:3], p)
-        else:
-            out.append((rows[r][0], rows[r][1], p, p))
-        prev = r
-    return out
+    row, place = row[later], place[later]
+    by = np.lexsort((place, row))
+    row, place = row[by], place[by]
+    if not len(row):
+        return []
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)]))
+    last = np.append(new[1:], len(row)) - 1
+    return [(*rows[r][:2], lo, hi) for r, lo, hi in zip(row[new].tolist(), place[new].tolist(), place[last].tolist(), strict=True)]
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +393,7 @@ def _sort_shards(shard_bytes: int):
 def flagged(docs: DataFrame, shard_bytes: int = 4 << 20) -> DataFrame:
     """docs: doc, twin, text. Windows to remove: doc, twin, lo, hi (first and last start of 100-byte strings that start earlier elsewhere)."""
     records = docs.where(F.octet_length("text") >= LENGTH).mapInArrow(_records, RECORD)
-    found = cut(records.repartition("h").sortWithinPartitions("h", "c", "doc", "lo").mapInArrow(_settle, FOUND))
+    found = cut_table(records.repartition("h").sortWithinPartitions("h", "c", "doc", "lo").mapInArrow(_settle, FOUND))
     spans = found.where("open").groupBy("doc", "twin").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("spans"))
     raw = docs.join(spans, ["doc", "twin"]).select("doc", "twin", "text", "spans").mapInArrow(_bytes, "h long, doc long, twin int, lo long, hi long, raw binary")
     sorted_ = raw.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_shards(shard_bytes), "doc long, twin int, lo long, hi long")
@@ -419,7 +438,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full:
     text = F.col(text_col).cast("string")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     keyed = given.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("twin"), "text")
-    found = cut(flagged(keyed.select("doc", "twin", "text")).distinct())
+    found = flagged(keyed.select("doc", "twin", "text"))
     spans = found.groupBy("doc", "twin").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     whole = keyed.join(spans, ["doc", "twin"], "left").select("doc_id", "text", "spans")
     return whole.mapInArrow(_finish(full), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full)
