@@ -45,22 +45,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_table(df: DataFrame) -> DataFrame:
-    """As cut(), for large tables: written as Parquet into the shared folder, which is smaller, and removed when the session ends.
-
-    Spark is then asked to drop what it no longer needs, so that shuffle files of finished steps don't pile up.
-    """
+    """As cut(), for large tables: written as Parquet into the shared folder, which is smaller, and removed when the session ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/lidarloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    del df
-    gc.collect()
-    jvm.System.gc()
     return spark.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Asks Spark to drop what nothing refers to any more, so that shuffle files of finished steps don't pile up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """body(value), where value is evaluated once for each row however often body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_table, ship, table
+from .common import cut_table, release, ship, table
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text worked on at once; a longer text is worked on in parts that overlap by a window less one byte.
@@ -392,8 +392,8 @@ def _sort_shards(shard_bytes: int):
 
 def flagged(docs: DataFrame, shard_bytes: int = 4 << 20) -> DataFrame:
     """docs: doc, twin, text. Windows to remove: doc, twin, lo, hi (first and last start of 100-byte strings that start earlier elsewhere)."""
-    records = docs.where(F.octet_length("text") >= LENGTH).mapInArrow(_records, RECORD)
-    found = cut_table(records.repartition("h").sortWithinPartitions("h", "c", "doc", "lo").mapInArrow(_settle, FOUND))
+    found = cut_table(docs.where(F.octet_length("text") >= LENGTH).mapInArrow(_records, RECORD).repartition("h").sortWithinPartitions("h", "c", "doc", "lo").mapInArrow(_settle, FOUND))
+    release(docs.sparkSession)
     spans = found.where("open").groupBy("doc", "twin").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("spans"))
     raw = docs.join(spans, ["doc", "twin"]).select("doc", "twin", "text", "spans").mapInArrow(_bytes, "h long, doc long, twin int, lo long, hi long, raw binary")
     sorted_ = raw.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_shards(shard_bytes), "doc long, twin int, lo long, hi long")
