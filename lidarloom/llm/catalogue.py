@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, multiindex, packing, pii, rulefit, rules, simhash, suffixes
+import corpus_pipeline
+
+from . import bpe, langid, multiindex, packing, pii, rulefit, rules, simhash, suffixes, windows
 
 
 def queries():
@@ -14,8 +16,10 @@ def queries():
         "op5_rulefit": rulefit.op5_rulefit,
         "op6_suffixes": suffixes.op6_suffixes,
         "op7_simhash": simhash.op7_simhash,
+        "op8_windows": windows.op8_windows,
         "op9_rules": rules.op9_rules,
         "op10_multiindex": multiindex.op10_multiindex,
+        "pipeline": corpus_pipeline.run,
     }
 
 
