@@ -17,6 +17,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from .common import cut, ship, table
 
 CAPACITY, END = 4096, 2
 SALTS = 256
-#: Entries of each generation of a worker's two caches.
+#: Entries of each generation of a worker's caches of words and of plain words.
 CACHE = 250_000
 PLAIN = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: White space to str.split(), but not to the tokenizer's pattern.
@@ -81,7 +83,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words, self.plain = Recent(CACHE), Recent(CACHE)
+        self.words, self.plain, self.marks = Recent(CACHE), Recent(CACHE), Recent(10_000)
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -107,10 +109,11 @@ class Encoder:
         self.plain.age()
         if new := self.plain.missing({w for w, _ in halves.values()}):
             self.plain.add(self.encode_plain(new))
-        marks = list({x for _, x in halves.values()} - {""})
-        tails = (dict(zip(marks, self.raw(marks), strict=True)) if marks else {}) | {"": b""}
-        plain = self.plain.young
-        made.update({c: plain[w] + tails[x] for c, (w, x) in halves.items()})
+        self.marks.age()
+        if new := self.marks.missing({x for _, x in halves.values()}):
+            self.marks.add(dict(zip(new, self.raw(new), strict=True)))
+        plain, marks = self.plain.young, self.marks.young
+        made.update({c: plain[w] + marks[x] for c, (w, x) in halves.items()})
         return made
 
     def encode(self, text: str) -> bytes:
@@ -119,10 +122,12 @@ class Encoder:
         chunks = text.split()
         self.words.age()
         ids = list(map(self.words.young.get, chunks))
-        if lost := {c for c, x in zip(chunks, ids, strict=True) if x is None}:
-            if new := self.words.missing(lost):
+        if lost := list(compress(range(len(ids)), map(not_, ids))):
+            if new := self.words.missing({chunks[i] for i in lost}):
                 self.words.add(self.encode_chunks(new))
-            ids = map(self.words.young.__getitem__, chunks)
+            known = self.words.young
+            for i in lost:
+                ids[i] = known[chunks[i]]
         return b"".join(ids)
 
 
