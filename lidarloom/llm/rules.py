@@ -184,10 +184,12 @@ def keep_good(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> Da
     tag = "stat_"
     while any(c.lower().startswith(tag) for c in docs.columns):
         tag += "_"
-    counts = counted(statistics(docs.select(F.col(f"`{text_col}`").alias("text")), "text").select(base_failed().alias("base_failed"), pattern().alias("votes")))
+    seen = statistics(docs.select(F.col(f"`{text_col}`").alias("text")), "text").select(base_failed().alias("base_failed"), pattern().alias("votes"))
+    counts = {r["votes"]: r["count"] for r in seen.groupBy("base_failed", "votes").count().collect() if not r["base_failed"]}
     _, good = judge(estimate(counts, len(votes())), list(counts), pattern(tag), least)
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return statistics(docs, text_col, tag).where(~base_failed(tag) & good).select(*own)
+    # A row number between statistics and filter keeps Catalyst from evaluating the statistics in the filter and then again.
+    return statistics(docs, text_col, tag).withColumn(f"{tag}row", F.monotonically_increasing_id()).where(~base_failed(tag) & good).select(*own)
 
 
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
