@@ -31,7 +31,7 @@ from .common import cut, ship, table
 CAPACITY, END = 4096, 2
 SALTS = 256
 #: Entries of each generation of a worker's caches of words and of plain words.
-CACHE = 250_000
+CACHE = 120_000
 PLAIN = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: White space to str.split(), but not to the tokenizer's pattern.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
