@@ -30,8 +30,8 @@ from .common import cut, ship, table
 
 CAPACITY, END = 4096, 2
 SALTS = 256
-#: Entries of each generation of a worker's caches of words and of plain words.
-CACHE = 120_000
+#: Entries of each generation of a worker's caches of words as they stand, of plain words, and of marks.
+CACHES = (120_000, 180_000, 10_000)
 PLAIN = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: White space to str.split(), but not to the tokenizer's pattern.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -83,7 +83,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words, self.plain, self.marks = Recent(CACHE), Recent(CACHE), Recent(10_000)
+        self.words, self.plain, self.marks = map(Recent, CACHES)
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
