@@ -171,7 +171,8 @@ def near(fps: DataFrame, radius: int, bucket_rows: int = 256, broadcast_rows: in
             break
         side = F.broadcast(hot) if n_hot <= broadcast_rows else hot
         cold.append(rows.join(side, ["mask", "value"], "left_anti"))
-        children = {m: [m | c for c in masks(free_bits(m), radius)] for m in level}
+        used = {r[0] & ((1 << 64) - 1) for r in hot.select("mask").distinct().collect()}  # at most as many as there are choices
+        children = {m: [m | c for c in masks(free_bits(m), radius)] for m in level if m in used}
         choice = F.create_map(*[x for m, cs in children.items() for x in (F.lit(signed(m)), F.array(*[F.lit(signed(c)) for c in cs]))])
         level = sorted({c for cs in children.values() for c in cs}, key=lambda m: m.bit_count())
         rows = keyed(rows.join(side, ["mask", "value"], "left_semi"), F.element_at(choice, F.col("mask"))).distinct()
