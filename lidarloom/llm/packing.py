@@ -31,7 +31,7 @@ from .common import cut, ship, table
 CAPACITY, END = 4096, 2
 SALTS = 256
 #: Entries of each generation of a worker's caches of words as they stand, of plain words, and of marks.
-CACHES = (120_000, 180_000, 10_000)
+CACHES = (220_000, 250_000, 10_000)
 PLAIN = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: White space to str.split(), but not to the tokenizer's pattern.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -214,6 +214,7 @@ def places(fillings: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 
 def _place(tables: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # a worker that places pieces needs no words any more
         for batch in batches:
             length, rank = (batch.column(batch.schema.names.index(c)).to_numpy() for c in ("length", "rank"))
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
