@@ -13,15 +13,13 @@ A null or empty text is the end id alone. Repeated rows are packed each. An empt
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -30,11 +28,12 @@ from .common import cut, ship, table
 
 CAPACITY, END = 4096, 2
 SALTS = 256
-#: Entries of each generation of a worker's caches of words as they stand, of plain words, and of marks.
-CACHES = (220_000, 250_000, 10_000)
-PLAIN = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-#: White space to str.split(), but not to the tokenizer's pattern.
-ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Entries of each generation of a worker's caches: plain words, other words, marks.
+CACHES = (300_000, 50_000, 10_000)
+#: A word of letters with the marks after it.
+PLAIN = "^(?P<word>[a-zA-ZÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?]*)$"
+#: Bytes of text whose words are told apart together, and plain words that are encoded in one go.
+SLICE_BYTES, GO_WORDS = 16 << 20, 20_000
 
 
 def tokenizer_path() -> str:
@@ -71,8 +70,8 @@ class Recent:
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and no match of its pattern crosses it, so words can be encoded apart and remembered; a plain
-    word is remembered apart from the marks after it.
+    The tokenizer drops white space and no match of its pattern crosses it, so the distinct words of many texts are encoded apart; a plain
+    word is encoded apart from the marks after it, and remembered.
     """
 
     def __init__(self, path: str):
@@ -83,52 +82,53 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words, self.plain, self.marks = map(Recent, CACHES)
+        self.plain, self.words, self.marks = map(Recent, CACHES)
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_plain(self, words: list[str]) -> dict[str, bytes]:
+    def together(self, words: list[str]) -> list[bytes]:
         """Lower-case words of letters: each is one match, whose last id ends a word, so that they can be encoded in one go."""
-        ids = np.frombuffer(self.raw([" ".join(words)])[0], "<u4")
-        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(ends) != len(words):
-            return dict(zip(words, self.raw(words), strict=True))
-        row = ids.tobytes()
-        return dict(zip(words, [row[s:e] for s, e in zip([0, *ends.tolist()], ends.tolist(), strict=False)], strict=True))
-
-    def encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of words with the marks around them. A plain word is remembered apart from the marks after it."""
-        halves, others = {}, []
-        for c in chunks:
-            if m := PLAIN.fullmatch(c):
-                halves[c] = (m[1].lower(), m[2])
-            else:
-                others.append(c)
-        made = dict(zip(others, self.raw(others), strict=True)) if others else {}
-        self.plain.age()
-        if new := self.plain.missing({w for w, _ in halves.values()}):
-            self.plain.add(self.encode_plain(new))
-        self.marks.age()
-        if new := self.marks.missing({x for _, x in halves.values()}):
-            self.marks.add(dict(zip(new, self.raw(new), strict=True)))
-        plain, marks = self.plain.young, self.marks.young
-        made.update({c: plain[w] + marks[x] for c, (w, x) in halves.items()})
-        return made
+        row = self.raw([" ".join(words)])[0]
+        ends = ((np.flatnonzero(self.ends[np.frombuffer(row, "<u4")]) + 1) * 4).tolist()
+        return [row[s:e] for s, e in zip([0, *ends], ends, strict=False)] if len(ends) == len(words) else self.raw(words)
+
+    def remembered(self, cache: Recent, words: pa.Array, make) -> pa.Array:
+        """Ids of each of words, which may repeat; those that the cache hasn't are made, GO_WORDS at a time."""
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        cache.age()
+        new = cache.missing(distinct)
+        for at in range(0, len(new), GO_WORDS):
+            part = new[at : at + GO_WORDS]
+            cache.add(dict(zip(part, make(part), strict=True)))
+        return pa.array(map(cache.young.__getitem__, distinct), pa.large_binary(), size=len(distinct)).take(coded.indices)
+
+    def encode_words(self, distinct: pa.Array) -> pa.Array:
+        """Ids of words with the marks around them."""
+        found = pc.extract_regex(distinct, PLAIN)
+        plain = found.is_valid().to_numpy(zero_copy_only=False)
+        word, marks = found.drop_null().flatten()
+        word, marks = self.remembered(self.plain, pc.utf8_lower(word), self.together), self.remembered(self.marks, marks, self.raw)
+        others = self.remembered(self.words, distinct.filter(pa.array(~plain)), self.raw)
+        place = np.where(plain, np.cumsum(plain) - 1, plain.sum() + np.cumsum(~plain) - 1)
+        return pa.concat_arrays([pc.binary_join_element_wise(word, marks, pa.scalar(b"", pa.large_binary())), others]).take(pa.array(place))
 
     def encode(self, text: str) -> bytes:
-        if any(x in text for x in ODD):
-            return self.raw([text])[0]
-        chunks = text.split()
-        self.words.age()
-        ids = list(map(self.words.young.get, chunks))
-        if lost := list(compress(range(len(ids)), map(not_, ids))):
-            if new := self.words.missing({chunks[i] for i in lost}):
-                self.words.add(self.encode_chunks(new))
-            known = self.words.young
-            for i in lost:
-                ids[i] = known[chunks[i]]
-        return b"".join(ids)
+        return bytes(next(self.encode_all(pa.array([text], pa.string()))))
+
+    def encode_all(self, texts: pa.Array) -> Iterator[memoryview]:
+        """Ids of each text; a null one has none."""
+        split = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        ids = self.encode_words(coded.dictionary).take(coded.indices)
+        if not len(ids):
+            yield from [memoryview(b"")] * len(texts)
+            return
+        bounds = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :][split.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        for s, e in zip(bounds, bounds[1:], strict=False):
+            yield data[s:e]
 
 
 @lru_cache(maxsize=2)
@@ -139,19 +139,32 @@ def encoder(path: str) -> Encoder:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of runs of at most SLICE_BYTES of text, or of one longer text."""
+    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    first = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > SLICE_BYTES:
+            yield first, i - first
+            first, size = i, 0
+        size += n
+    if len(sizes) > first:
+        yield first, len(sizes) - first
+
+
 def _pieces(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = encoder(path), int(end).to_bytes(4, "little")
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.encode(text.as_py() or "") + tail
-                n = len(ids) // 4
-                for at in range(0, n, capacity):
-                    part = ids[4 * at : 4 * (at + capacity)]
-                    rows.append((doc_id, at, len(part) // 4, zlib.crc32(part), n))
-            if rows:
-                names = [x.split()[0] for x in PIECES.split(", ")]
+        names = [x.split()[0] for x in PIECES.split(", ")]
+        for whole in batches:
+            for batch in (whole.slice(*s) for s in slices(whole.column(1))):
+                rows: list[tuple] = []
+                for doc_id, body in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1)), strict=True):
+                    ids = bytes(body) + tail
+                    n = len(ids) // 4
+                    for at in range(0, n, capacity):
+                        part = ids[4 * at : 4 * (at + capacity)]
+                        rows.append((doc_id, at, len(part) // 4, zlib.crc32(part), n))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
     return run
