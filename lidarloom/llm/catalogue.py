@@ -24,4 +24,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op6_suffixes": suffixes.ORACLE_SQL, "op10_multiindex": multiindex.ORACLE_SQL}

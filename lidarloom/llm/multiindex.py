@@ -228,5 +228,25 @@ def link(rows: DataFrame, least: float = 0.98, words: int | None = None, sample_
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+#: DuckDB SQL for the rows of op10_multiindex, all pairs of a label compared; vec_id must be unique and not null.
+ORACLE_SQL = """
+WITH RECURSIVE given AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+), usable AS (
+  SELECT vec_id, label, list_transform(v, lambda x: coalesce(x, 0)) AS v FROM given
+  WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) END >= 0.98
+), reach AS (
+  SELECT vec_id AS node, vec_id AS spot FROM given
+  UNION SELECT node, b FROM reach JOIN links ON spot = a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM given JOIN (SELECT node AS vec_id, min(spot) AS component_id FROM reach GROUP BY node) USING (vec_id)
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
+"""
+
+
 def op10_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "embeddings"))

@@ -444,5 +444,34 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full:
     return whole.mapInArrow(_finish(full), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full)
 
 
+#: DuckDB SQL for the rows of op6_suffixes; doc_id must be unique and not null.
+ORACLE_SQL = """
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), blocks AS (
+  SELECT doc_id, n, b, substr(h, (2 * b + 1)::BIGINT, 1398) AS part FROM (SELECT *, unnest(range(0, greatest(n - 99, 0), 600)) AS b FROM texts)
+), windows AS (
+  SELECT doc_id, b + i AS spot, md5_number(substr(part, (2 * i + 1)::BIGINT, 200)) AS k
+  FROM (SELECT *, unnest(range(0, least(600, n - 99 - b))) AS i FROM blocks)
+), firsts AS (
+  SELECT k, min((doc_id, spot)) AS f FROM windows GROUP BY k HAVING count(*) > 1
+), later AS (
+  SELECT doc_id, spot FROM windows JOIN firsts USING (k) WHERE (doc_id, spot) <> f
+), runs AS (
+  SELECT doc_id, spot, sum(CASE WHEN spot - before <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY spot) AS run
+  FROM (SELECT *, lag(spot) OVER (PARTITION BY doc_id ORDER BY spot) AS before FROM later)
+), spans AS (
+  SELECT doc_id, run, min(spot) AS s, max(spot) + 100 AS e FROM runs GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS z FROM spans
+  UNION ALL SELECT texts.doc_id, coalesce(e, 0), n FROM texts LEFT JOIN (SELECT doc_id, max(e) AS e FROM spans GROUP BY doc_id) USING (doc_id)
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, (2 * a + 1)::BIGINT, (2 * (z - a))::BIGINT), '' ORDER BY a) AS h FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM texts JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(e - s) AS r, count(*) AS c FROM spans GROUP BY doc_id) USING (doc_id)
+"""
+
+
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"), full=False)

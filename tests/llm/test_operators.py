@@ -282,6 +282,48 @@ def test_multiindex(spark):
     assert list(multiindex.traverse(first, second, 0.9)) == sorted([(i, j) for i in range(8) for j in range(8) if first[i] + second[j] <= 0.9], key=lambda c: first[c[0]] + second[c[1]])
 
 
+def in_duckdb(frame, name, sql):
+    import duckdb
+
+    con = duckdb.connect()
+    con.register(name, frame)
+    return con.execute(sql).df()
+
+
+def same(got, want, key):
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    a, b = (x[cols].sort_values(key).astype(str).to_numpy().tolist() for x in (got, want))
+    assert a == b
+
+
+def test_sql_of_suffixes(spark):
+    """Repeats within and across documents, overlapping and adjacent spans, multi-byte characters, null and empty texts."""
+    random.seed(8)
+    letters = lambda n: "".join(random.choice("abcé日 ") for _ in range(n))
+    shared = [letters(n) for n in (90, 140, 300, 2500)]
+    texts = [None, "", "a" * 1500, "ab" * 99, letters(99)]
+    texts += ["".join(random.choice([letters(random.randint(0, 80)), *shared]) for _ in range(random.randint(1, 6))) for _ in range(60)]
+    docs = spark.createDataFrame([(7 * i % 101, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = suffixes.dedup(docs, full=False).toPandas()
+    assert got.n_removed.sum() > 10_000 and (got.n_spans > 1).any()
+    same(got, in_duckdb(docs.toPandas(), "documents", catalogue.oracle_sql()["op6_suffixes"]), "doc_id")
+
+
+def test_sql_of_multiindex(spark):
+    import pyarrow as pa
+
+    g = np.random.default_rng(4)
+    base = g.normal(size=(40, 16))
+    vectors = [*base, *[b + g.normal(size=16) * 0.05 for b in base for _ in range(3)], *base[:10], np.zeros(16), None, [1.0, None] * 8, [float("nan")] * 16, [float("inf")] * 16, [], [1.0, 2.0]]
+    vectors = [v if v is None else [x if x is None else float(x) for x in v] for v in vectors]
+    table = pa.table({"vec_id": range(len(vectors)), "embedding": pa.array(vectors, pa.list_(pa.float64())), "label": [None if i == 3 else i % 2 for i in range(len(vectors))]})
+    rows = spark.createDataFrame([tuple(r.values()) for r in table.to_pylist()], "vec_id long, embedding array<double>, label long")
+    got = multiindex.link(rows, reach=1.0).toPandas()
+    assert got.n_links.sum() > 100
+    same(got, in_duckdb(table, "embeddings", catalogue.oracle_sql()["op10_multiindex"]), "vec_id")
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
