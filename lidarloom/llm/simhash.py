@@ -207,9 +207,13 @@ def classes(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
     """docs with one document of each component, that of the smallest id; all columns stay. The text isn't shuffled unless ids repeat."""
-    own = free_name(docs, "keep_id")
     given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    found = link(fingerprints(given, width), radius)
+    return kept_of(docs, link(fingerprints(given, width), radius), id_col)
+
+
+def kept_of(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs that found (doc_id, component_id) names as their component."""
+    own = free_name(docs, "keep_id")
     keep = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(own)).count())
     kept = docs.join(keep.drop("count"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own)), "left_semi")
     return kept if keep.where("count > 1").isEmpty() else kept.dropDuplicates([id_col])

@@ -171,6 +171,37 @@ def test_simhash(docs, texts, odd, empty):
     assert simhash.classes(empty).count() == 0
 
 
+def test_jaccard(spark, odd, empty):
+    """Near copies from 0.7 to 0.95, chains, a family of variants whose values fill several blocks."""
+    import corpus_pipeline
+    from lidarloom.llm import jaccard
+
+    random.seed(6)
+    voc = ["".join(random.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    rows = []
+    for _ in range(40):
+        w = [random.choice(voc) for _ in range(random.randint(60, 400))]
+        for _ in range(4):  # each an edit of the one before
+            rows.append(" ".join(w))
+            for k in random.sample(range(len(w)), max(1, len(w) // random.choice((40, 60, 120)))):
+                w[k] = random.choice(voc)
+    w = [random.choice(voc) for _ in range(150)]
+    for _ in range(60):
+        rows.append(" ".join(random.choice(voc) if random.random() < 0.02 else x for x in w))
+    rows = [(i, t) for i, t in enumerate(rows)] + [(900, rows[5])]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    edges = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = components_of(sets, edges)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(i for i in sets if root[i] == i)
+    assert len(edges) > 100 and 40 < len(want) < len(rows) - 60
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, SF).collect()) == want
+    assert sorted(r.doc_id for r in jaccard.keep_one(frame, block_rows=8).collect()) == want
+    kept = jaccard.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "6", "9", "None"]
+    assert jaccard.keep_one(empty).count() == 0
+
+
 def test_suffix_order():
     random.seed(4)
     for memory in (0, 64, 1 << 30):
