@@ -4,9 +4,9 @@ Two codebooks, one for each half of the normalised vectors, are trained apart on
 of cells. Every distinct vector is filed in its cell, and looks up cells in the order of a multi-sequence traversal: two lists of
 half-distances, walked from the nearest pair of entries outwards. The distance of an entry is how far the half must move to
 cross into that codeword's region, so that the walk may stop at the distance that the threshold allows: every pair of the
-threshold is then found (reach 1). A smaller reach, the share of that distance, trades recall for speed: a pair rarely differs just
-across a border, and at 0.3, the default, all 28,617 close pairs of a table of 10,256 vectors were found with a tenth of the
-cells. What is found is verified by cosine in double precision.
+threshold is then found (reach 1). A smaller reach, the share of that distance, trades recall for speed. It is measured on the table itself: a
+bounded sample of vectors is compared with all others by brute force, and the least reach that finds every pair of the sample
+is taken, or 1 if the sample has too few pairs to tell. What is found is verified by cosine in double precision.
 
 Equal vectors of a label are one row with a count, so that copies are never expanded into pairs; cells beyond cell_rows
 members are dealt out in parts. Vectors that are null, empty, zero, or hold null or non-finite components, and
@@ -126,6 +126,54 @@ def _file(books: Codebooks, most: float):
     return run
 
 
+def _needed(books: Codebooks, queries: list[tuple], least: float):
+    """Number of pairs of queries (rep, label, v) with the rows, and the greatest squared distance that a walk goes to find one, in either direction."""
+    groups: dict[tuple, list[tuple]] = {}
+    for rep, label, v in queries:
+        groups.setdefault((label, len(v)), []).append((rep, v))
+
+    def cells(gaps: list[np.ndarray]) -> list[np.ndarray]:
+        return [g.argmin(1) for g in gaps]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = {}
+        for key, rows in groups.items():
+            x = np.array([v for _, v in rows])
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            gaps = books.gaps(x)
+            made[key] = (np.array([r for r, _ in rows]), x, gaps, cells(gaps))
+        n, most = 0, 0.0
+        for whole in batches:
+            for batch in [whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)]:
+                vectors, reps = matrix(batch.column(2)), batch.column(0).to_numpy()
+                at: dict[tuple, list[int]] = {}
+                for i, (label, v) in enumerate(zip(batch.column(1).to_pylist(), vectors, strict=True)):
+                    at.setdefault((label, len(v)), []).append(i)
+                for key in at.keys() & made.keys():
+                    own, y, gaps, cell = made[key]
+                    x = np.stack([vectors[i] for i in at[key]])
+                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    q, r = np.nonzero((y @ x.T >= least) & (own[:, None] != reps[at[key]]))
+                    if len(q):
+                        theirs = books.gaps(x[r])
+                        there = cells(theirs)
+                        asked = sum(g[q, c] for g, c in zip(gaps, there, strict=True))
+                        back = sum(g[np.arange(len(r)), c[q]] for g, c in zip(theirs, cell, strict=True))
+                        n, most = n + len(q), max(most, float(np.maximum(asked, back).max()))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([most])], names=["n", "most"])
+
+    return run
+
+
+def measured_reach(distinct: DataFrame, books: Codebooks, least: float, query_rows: int, least_pairs: int = 200) -> float:
+    """The least reach by which query_rows vectors find all their partners; 1 if these have fewer than least_pairs."""
+    queries = [tuple(r) for r in distinct.select("rep", "label", "v").orderBy(F.xxhash64("v", F.lit(7))).limit(query_rows).collect()]
+    found = distinct.select("rep", "label", "v").mapInArrow(_needed(books, queries, least), "n long, most double").agg(F.sum("n"), F.max("most")).first()
+    if (found[0] or 0) < least_pairs:
+        return 1.0
+    return min(1.0, (found[1] / max(2 - 2 * least, 1e-9)) ** 0.5)
+
+
 LINKED = "a long, b long, n long"
 
 
@@ -194,7 +242,7 @@ def _verify(least: float):
     return run
 
 
-def link(rows: DataFrame, least: float = 0.98, words: int | None = None, sample_rows: int = 4000, reach: float = 0.3, cell_rows: int = 1024) -> DataFrame:
+def link(rows: DataFrame, least: float = 0.98, words: int | None = None, sample_rows: int = 4000, reach: float | None = None, cell_rows: int = 1024, query_rows: int = 1000) -> DataFrame:
     """rows: vec_id, embedding, label. Returns vec_id, n_links, component_id, kept, one row per vector."""
     spark = rows.sparkSession
     ship(spark)
@@ -207,6 +255,8 @@ def link(rows: DataFrame, least: float = 0.98, words: int | None = None, sample_
     books = train(distinct, words, sample_rows)
     if books is None:
         return given.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    if reach is None:
+        reach = measured_reach(distinct, books, least, query_rows)
     # Cosine c means a squared distance of 2 - 2c between normalised vectors.
     filed = distinct.select("rep", "n", "label", "v").mapInArrow(_file(books, (2 - 2 * least) * reach**2 + 1e-9), FILED)
     filed = cut(filed.withColumn("size", F.size("v")))

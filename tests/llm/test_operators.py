@@ -313,6 +313,27 @@ def test_multiindex(spark):
     assert list(multiindex.traverse(first, second, 0.9)) == sorted([(i, j) for i in range(8) for j in range(8) if first[i] + second[j] <= 0.9], key=lambda c: first[c[0]] + second[c[1]])
 
 
+def test_multiindex_registered(spark):
+    """The setting that is registered, on pairs in a subspace of 4 dimensions, whose noise crosses borders."""
+    g = np.random.default_rng(9)
+    basis = np.linalg.qr(g.normal(size=(64, 4)))[0]
+    z = g.normal(size=(500, 4))
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    step = g.normal(size=z.shape)
+    step -= (step * z).sum(1, keepdims=True) * z
+    y = z + step / np.linalg.norm(step, axis=1, keepdims=True) * np.tan(np.arccos(g.uniform(0.981, 0.99, size=(500, 1))))
+    x = np.concatenate([z, y]) @ basis.T
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = x @ x.T
+    want = (cosine >= 0.98).sum(1) - 1
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in multiindex.link(frame, words=64, query_rows=400).collect()}
+    assert sum(got.values()) >= 0.999 * want.sum() and want.sum() > 1000
+    few = {r.vec_id: r.n_links for r in multiindex.link(frame.where("vec_id % 500 < 60"), words=16).collect()}
+    at = [i for i in range(1000) if i % 500 < 60]
+    assert few == {i: int((cosine[i, at] >= 0.98).sum() - 1) for i in at}
+
+
 def in_duckdb(frame, name, sql):
     import duckdb
 
