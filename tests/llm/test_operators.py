@@ -259,6 +259,16 @@ def test_windows(spark, odd, empty):
     assert windows.without_passages(odd).columns == odd.columns and windows.without_passages(odd).count() == len(ODD) and windows.find(empty).count() == 0
 
 
+def test_windows_inserted_sentence(spark):
+    """A passage of 98 words with 14 words put into its middle: 90 of 112 shingles are shared."""
+    random.seed(12)
+    para = lambda n: ["".join(random.choice("abcdefgh") for _ in range(8)) for _ in range(n)]
+    p = para(98)
+    rows = [(1, para(70) + p + para(30)), (2, para(40) + p[:49] + para(14) + p[49:] + para(60)), (3, para(9) + p + para(20) + p[:60] + para(5))]
+    got = {(r.doc, r.start_word, r.end_word, r.source_doc, round(r.similarity, 3)) for r in windows.find(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"), hashes=16, agree=1).collect()}
+    assert {(2, 40, 152, 1, round(90 / 112, 3)), (3, 9, 107, 1, 1.0), (3, 127, 187, 1, 1.0)} <= got
+
+
 def test_packing(docs, texts, odd, empty):
     from tokenizers import Tokenizer
 
