@@ -12,9 +12,11 @@ A null or empty text is the end id alone. Repeated rows are packed each. An empt
 
 from __future__ import annotations
 
+import ctypes
 import os
 import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
@@ -29,11 +31,11 @@ from .common import cut, ship, table
 CAPACITY, END = 4096, 2
 SALTS = 256
 #: Entries of each generation of a worker's caches: plain words, other words, marks.
-CACHES = (300_000, 50_000, 10_000)
+CACHES = (100_000, 10_000, 5_000)
 #: A word of letters with the marks after it.
 PLAIN = "^(?P<word>[a-zA-ZÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?]*)$"
 #: Bytes of text whose words are told apart together, and plain words that are encoded in one go.
-SLICE_BYTES, GO_WORDS = 16 << 20, 20_000
+SLICE_BYTES, GO_WORDS = 4 << 20, 4_000
 
 
 def tokenizer_path() -> str:
@@ -136,6 +138,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, so that a worker's peak is that of one slice and its caches."""
+    with suppress(OSError, AttributeError):  # no such call outside glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -154,6 +162,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
 
 def _pieces(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         enc, tail = encoder(path), int(end).to_bytes(4, "little")
         names = [x.split()[0] for x in PIECES.split(", ")]
         for whole in batches:
@@ -165,7 +174,10 @@ def _pieces(path: str, capacity: int, end: int):
                     for at in range(0, n, capacity):
                         part = ids[4 * at : 4 * (at + capacity)]
                         rows.append((doc_id, at, len(part) // 4, zlib.crc32(part), n))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+                made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+                rows.clear()
+                trim()
+                yield made
 
     return run
 
@@ -228,6 +240,7 @@ def places(fillings: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 def _place(tables: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder.cache_clear()  # a worker that places pieces needs no words any more
+        trim()
         for batch in batches:
             length, rank = (batch.column(batch.schema.names.index(c)).to_numpy() for c in ("length", "rank"))
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
