@@ -2,14 +2,16 @@
 
 Term frequencies are shares of a document's n-grams; document frequencies are counted over all training documents. Weights
 are trained with follow-the-regularised-leader (per-coordinate rates, elastic net: the L1 part leaves most of them 0) on a
-bounded sample of rows for each language, and a temperature is then fitted on rows of the sample that were held back.
+bounded sample of rows for each language, of any length, and a temperature is then fitted on rows of the sample that were held back.
 
-A text that is null or has no letter is "und" with score 0. Repeated rows each get the same row; an empty table gives
-no rows; without training rows every text is "und" with score 0.
+A text's score depends on the text alone: n-grams lie inside one text, and weights are whole multiples of 1 / UNIT, whose sums are
+exact in any order, so that rows, batches and neighbours don't matter. A text that is null or has no letter is "und" with
+score 0. Repeated rows each get the same row; an empty table gives no rows; without training rows every text is "und" with score 0.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,13 +24,14 @@ from .common import remainder, ship, table
 
 BITS, ORDERS = 15, (1, 2, 3)
 DIMS = 1 << BITS
-#: Characters handled at once; longer texts are taken in windows that overlap by the longest order less one.
-WINDOW = 1 << 20
-GAP = "\0" * (max(ORDERS) - 1)
+#: Characters of lower-cased text handled at once; a longer text is taken part by part.
+WINDOW = 1 << 18
+#: Weights are rounded to whole multiples of 1 / UNIT.
+UNIT = 1 << 22
 
 
 def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
 
 def hashes(c: np.ndarray, order: int) -> np.ndarray:
@@ -43,53 +46,60 @@ def hashes(c: np.ndarray, order: int) -> np.ndarray:
     return (h >> np.uint32(32 - BITS)).astype(np.int64)
 
 
-def counts_of(text: str) -> np.ndarray:
-    """Counts of the hashed n-grams of a whole text, taken window by window."""
-    out = np.zeros(DIMS, np.int64)
-    for at in range(0, max(len(text), 1), WINDOW):
+def n_grams(length: int) -> int:
+    """Number of n-grams of all orders in a text of length characters."""
+    return sum(max(0, length - order + 1) for order in ORDERS)
+
+
+def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index of the text, ascending, and hash) of every n-gram of lower-cased texts, about WINDOW characters at a time."""
+    held: list[tuple[int, str, int]] = []  # text, part with the characters after it that its last n-grams need, places that are its own
+    size = 0
+
+    def flush() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        c, sizes = codes("".join([p for _, p, _ in held])), np.array([len(p) for _, p, _ in held])
+        at = np.arange(len(c)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        row, own, rest = (np.repeat(x, sizes) for x in (np.array([i for i, _, _ in held]), np.array([o for _, _, o in held]), sizes))
         for order in ORDERS:
-            out += np.bincount(hashes(codes(text[at : at + WINDOW + order - 1]), order), minlength=DIMS)
-    return out
+            h = hashes(c, order)
+            inside = ((at < own) & (at + order <= rest))[: len(h)]
+            yield row[: len(h)][inside], h[inside]
+
+    for i, text in enumerate(texts):
+        for at in range(0, len(text), WINDOW):
+            part = text[at : at + WINDOW + max(ORDERS) - 1]
+            held.append((i, part, min(WINDOW, len(text) - at)))
+            size += len(part)
+            if size >= WINDOW:
+                yield from flush()
+                held, size = [], 0
+    if held:
+        yield from flush()
+
+
+def counts_of(text: str) -> np.ndarray:
+    """Counts of the hashed n-grams of a whole text."""
+    return sum((np.bincount(h, minlength=DIMS) for _, h in grams([text.lower()])), np.zeros(DIMS, np.int64))
 
 
 @dataclass
 class Model:
     langs: list[str]
-    weights: np.ndarray  # [DIMS, language], idf and scale included
+    weights: np.ndarray  # int64 [DIMS, language], idf and scale included, in units of 1 / UNIT
     bias: np.ndarray
     temperature: float
 
 
 def logits(texts: list[str], model: Model) -> np.ndarray:
-    """Raw scores [text, language]; many short texts are taken together, long ones in windows."""
-    sums, n = np.zeros((len(texts), len(model.langs))), np.array([max(len(t) * len(ORDERS), 1) for t in texts], float)
-    group: list[int] = []
-    size = 0
-
-    def flush() -> None:
-        if not group:
-            return
-        c = codes(GAP.join([texts[i] for i in group]) + GAP)
-        ends = np.cumsum([len(texts[i].lower()) + len(GAP) for i in group])
-        for order in ORDERS:
-            h = hashes(c, order)
-            bound = np.minimum(np.concatenate([[0], ends[:-1]]), len(h))
-            live = model.weights[h]
-            total = np.concatenate([np.zeros((1, live.shape[1])), np.cumsum(live, 0, dtype=np.float64)])
-            sums[group] += total[np.append(bound[1:], len(h))] - total[bound]
-        group.clear()
-
-    for i, t in enumerate(texts):
-        if len(t) > WINDOW:
-            sums[i] = counts_of(t) @ model.weights
-            continue
-        if size + len(t) > WINDOW:
-            flush()
-            size = 0
-        group.append(i)
-        size += len(t) + len(GAP)
-    flush()
-    return sums / n[:, None] + model.bias
+    """Raw scores [text, language]."""
+    low = [t.lower() for t in texts]
+    sums = np.zeros((len(low), len(model.langs)), np.int64)
+    for row, h in grams(low):
+        if len(row):
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            sums[row[first]] += np.add.reduceat(model.weights[h], first, axis=0)
+    n = np.array([max(n_grams(len(t)), 1) for t in low], float)
+    return sums / UNIT / n[:, None] + model.bias
 
 
 def probabilities(z: np.ndarray, temperature: float = 1.0) -> np.ndarray:
@@ -106,9 +116,13 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each task: how many documents hold each hashed n-gram, as one row a coordinate in use, and their number as coordinate -1."""
     found, n = np.zeros(DIMS, np.int64), 0
     for batch in batches:
-        for text in batch.column(0):
-            n += 1
-            found += counts_of(text.as_py() or "") > 0
+        for at in range(0, batch.num_rows, 64):
+            texts = [(t or "").lower() for t in batch.column(0).slice(at, 64).to_pylist()]
+            held = np.zeros((len(texts), DIMS), bool)
+            for row, h in grams(texts):
+                held[row, h] = True
+            found += held.sum(0)
+            n += len(texts)
     at = np.flatnonzero(found)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(found[at], n), pa.int64())], names=["at", "n"])
 
@@ -121,25 +135,48 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
     return out, int(rows["n"].to_numpy()[~known].sum())
 
 
-def sample(docs: DataFrame, each: int, longest: int) -> list[tuple[str, str]]:
-    """(lang, text): about each rows of every language, those of the smallest hashes among texts of at most longest characters.
-
-    A rare language is taken whole; the rows of one language are at most twice the bound.
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, h, text: lang, h and the counts of the text's n-grams, packed: at most DIMS of them, however long the text is."""
+    for batch in batches:
+        rows = []
+        for text in batch.column(2):
+            text = text.as_py()
+            if not has_letter(text):
+                rows.append(None)
+                continue
+            counts = counts_of(text)
+            at = np.flatnonzero(counts)
+            rows.append(zlib.compress(at.astype("<u2").tobytes() + counts[at].astype("<u4").tobytes(), 1))
+        keep = [i for i, r in enumerate(rows) if r is not None]
+        yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(keep, pa.int32())) for i in (0, 1)], pa.array([rows[i] for i in keep], pa.binary())], names=["lang", "h", "packed"])
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates and counts of a row of _features."""
+    raw = zlib.decompress(raw)
+    n = len(raw) // 6
+    return np.frombuffer(raw, "<u2", n).astype(np.int64), np.frombuffer(raw, "<u4", n, 2 * n).astype(np.int64)
+
+
+def sample(docs: DataFrame, each: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(lang, coordinates, counts): about each rows of every language, those of the smallest hashes, of any length, with a letter.
+
+    A rare language is taken whole; the rows of one language are at most twice the bound. Texts stay with the executors.
     """
-    own = docs.where(F.col("lang").isNotNull() & (F.length("text") <= longest)).withColumn("h", F.xxhash64("doc_id", "text"))
+    own = docs.where(F.col("lang").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text"))
     sizes = {r[0]: r[1] for r in own.groupBy("lang").count().collect()}
     if not sizes:
         return []
     low, span = -(2**63), float(2**64)
     bound = {k: low + int(min(1.0, 1.2 * each / n) * (span - 2**12)) if n > each else 2**63 - 1 for k, n in sizes.items()}
     top = F.create_map(*[F.lit(x) for kv in bound.items() for x in kv])
-    rows = own.where(F.col("h") <= F.try_element_at(top, F.col("lang"))).select("lang", "text", "h").collect()
+    some = own.where(F.col("h") <= F.try_element_at(top, F.col("lang"))).select("lang", "h", F.col("text").cast("string"))
     kept: dict[str, int] = {}
     out = []
-    for r in sorted(rows, key=lambda r: (r["h"], r["lang"], r["text"])):
+    for r in sorted(some.mapInArrow(_features, "lang string, h long, packed binary").collect(), key=lambda r: (r["h"], r["lang"], bytes(r["packed"]))):
         kept[r["lang"]] = kept.get(r["lang"], 0) + 1
         if kept[r["lang"]] <= 2 * each:
-            out.append((r["lang"], r["text"]))
+            out.append((r["lang"], *unpacked(r["packed"])))
     return out
 
 
@@ -176,29 +213,25 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def train(docs: DataFrame, each: int = 500, longest: int = 10_000) -> Model | None:
+def train(docs: DataFrame, each: int = 500) -> Model | None:
     """docs: doc_id, text, lang, training rows only. each bounds the sample of a language; document frequencies cover all rows."""
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    rows = [(lang, t) for lang, t in sample(docs, each, longest) if has_letter(t)]
+    rows = sample(docs, each)
     if not rows:
         return None
     df, total = document_frequencies(docs)
     idf = np.log((1 + total) / (1 + df)) + 1
     scale = 30.0
-    langs = sorted({lang for lang, _ in rows})
-    y = np.array([langs.index(lang) for lang, _ in rows])
-    made = []
-    for _, t in rows:
-        c = counts_of(t)
-        at = np.flatnonzero(c)
-        made.append((at, c[at] / (len(t) * len(ORDERS)) * idf[at] * scale))
+    langs = sorted({lang for lang, _, _ in rows})
+    y = np.array([langs.index(lang) for lang, _, _ in rows])
+    made = [(at, n / n.sum() * idf[at] * scale) for _, at, n in rows]
     held = np.arange(len(rows)) % 5 == 4
     held &= len(rows) >= 20
     w, bias = ftrl([m for m, h in zip(made, held, strict=True) if not h], y[~held], len(langs))
-    model = Model(langs, (w * idf[:, None] * scale).astype(np.float32), bias, 1.0)
+    model = Model(langs, np.rint(w * idf[:, None] * scale * UNIT).astype(np.int64), bias, 1.0)
     if held.any():
-        model.temperature = calibrate(logits([t for (_, t), h in zip(rows, held, strict=True) if h], model), y[held])
+        model.temperature = calibrate(np.array([x @ w[at] + bias for (at, x), h in zip(made, held, strict=True) if h]), y[held])
     return model
 
 
