@@ -4,11 +4,11 @@ The patterns give the base spans (email, ip, card, phone). The field then labels
 document: a candidate holds a digit or an at sign; every other token is fixed to "no personal data", which splits the chain
 there and keeps the graph as small as the document's candidates. Neighbouring candidates share a chain edge; candidates
 that repeat the same normal form (letters and digits only) or, with seven or more digits, the same trailing digits
-share skip edges, so that evidence at one place carries to the others. Sum-product messages run round these loops;
+share skip edges, so that evidence at one place carries to the others. Tokens count whole, however long they are. Sum-product messages run round these loops;
 a run of tokens with the same label of enough posterior probability, outside the base spans, becomes an added span.
 
 Unary weights are a multinomial logistic regression, chain and skip potentials smoothed log ratios, all fitted on a bounded
-sample of documents (train_rows) that the base patterns label. Defined results: null or empty text has no spans; repeated
+sample of documents (train_rows) of any length that the base patterns label; executors count them, and the driver gets counts only. Defined results: null or empty text has no spans; repeated
 rows each give the same row; an empty table gives no rows; a corpus without personal data gives a field that adds nothing.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +36,9 @@ LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ012345678
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*")
+TOKEN = re.compile(r"\S+")
 HAS = re.compile(r"[0-9@]")
+NO_DIGITS = {ord(c): None for c in "0123456789"}
 EDGE = "\"'`.,;:!?#*$%&|<>[]{}()~^=/\\_-"
 
 
@@ -99,11 +101,15 @@ class Field:
 N_FEATURES = 30
 
 
+def n_digits(text: str) -> int:
+    return len(text) - len(text.translate(NO_DIGITS))
+
+
 def features(token: str, before: str, after: str) -> list[int]:
     """Indices of the binary features of a token; what its neighbours look like counts, its place doesn't."""
     core = token.strip(EDGE)
-    digits = sum("0" <= c <= "9" for c in token)
-    letters = sum(c.isalpha() for c in core)
+    digits = n_digits(token)
+    letters = sum(map(str.isalpha, core))
     dots = core.count(".")
     at = core.find("@")
     out = [0, 1 + min(digits, 16) // 2]
@@ -127,7 +133,7 @@ def features(token: str, before: str, after: str) -> list[int]:
         out.append(19)
     if letters > 8:
         out.append(20)
-    d_before, d_after = (sum("0" <= c <= "9" for c in x) for x in (before, after))
+    d_before, d_after = n_digits(before), n_digits(after)
     out.append(21 if not d_before else 22 if d_before < 4 else 23)
     out.append(24 if not d_after else 25 if d_after < 4 else 26)
     if before.startswith("+"):
@@ -154,14 +160,14 @@ def graph(texts: list[str | None]) -> Graph:
     for d, text in enumerate(texts):
         if not text or not HAS.search(text):
             continue
-        found = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+        found = [(m.start(), m.end()) for m in TOKEN.finditer(text) if HAS.search(text, m.start(), m.end())]
         seen: dict[str, int] = {}
         for i, (s, e) in enumerate(found):
             node, token = len(g.spans), text[s:e]
             before = text[found[i - 1][0] : found[i - 1][1]] if i and s - found[i - 1][1] <= 2 else ""
             after = text[found[i + 1][0] : found[i + 1][1]] if i + 1 < len(found) and found[i + 1][0] - e <= 2 else ""
             g.spans.append((d, s, e))
-            g.feats.append(features(token[:256], before[:64], after[:64]))
+            g.feats.append(features(token, before, after))
             if before:
                 g.chain.append((node - 1, node))
             form = "".join(c for c in token.lower() if c.isalnum())
@@ -195,31 +201,52 @@ def token_labels(g: Graph, base: list[list[tuple[int, int, int]]]) -> np.ndarray
     return out
 
 
-def fit(texts: list[str], rounds: int = 200, rate: float = 1.0, penalty: float = 1e-3) -> Field:
-    """Weights from the base patterns' labels on a bounded list of texts."""
+@dataclass
+class Evidence:
+    """What a field is fitted on: how often each set of features bears each label, labels at the ends of chain edges, and of skip edges."""
+
+    nodes: Counter  # (features, label)
+    chain: Counter  # (label, label)
+    skip: Counter  # whether the labels are equal
+
+    def rows(self) -> list[tuple[int, str, int]]:
+        """(kind, key, count), as add() takes them back."""
+        return [(i, " ".join(map(str, (*k[0], k[1]) if i == 0 else k)), n) for i, c in enumerate((self.nodes, self.chain, self.skip)) for k, n in c.items()]
+
+    def add(self, kind: int, key: str, n: int) -> None:
+        parts = tuple(map(int, key.split()))
+        (self.nodes, self.chain, self.skip)[kind][(parts[:-1], parts[-1]) if kind == 0 else parts] += n
+
+
+def evidence(texts: list[str]) -> Evidence:
     g = graph(texts)
+    y = token_labels(g, [base_spans(t) for t in texts]).tolist()
+    return Evidence(Counter(zip(map(tuple, g.feats), y, strict=True)), Counter((y[a], y[b]) for a, b in g.chain), Counter((int(y[a] == y[b]),) for a, b in g.skip))
+
+
+def fit(found: Evidence, rounds: int = 200, rate: float = 1.0, penalty: float = 1e-3) -> Field:
+    """Weights from the labels that the base patterns gave."""
     k = len(LABELS)
     unary = np.zeros((N_FEATURES, k))
     unary[0, 0] = 4.0
     chain, skip = np.zeros((k, k)), 0.0
-    if g.spans:
-        y = token_labels(g, [base_spans(t) for t in texts])
-        x, goal = matrix(g.feats).astype(float), np.eye(k)[y]
+    if found.nodes:
+        known = sorted(found.nodes.items())
+        n = np.array([c for _, c in known], float)[:, None]
+        x, goal = matrix([f for (f, _), _ in known]).astype(float), np.eye(k)[[y for (_, y), _ in known]]
         for _ in range(rounds):
             z = x @ unary
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            unary -= rate * (x.T @ (p - goal) / len(y) * 4 + penalty * unary)
-        if g.chain:
-            a, b = np.array(g.chain).T
-            pairs = np.zeros((k, k))
-            np.add.at(pairs, (y[a], y[b]), 1)
-            pairs += 0.5
+            unary -= rate * (x.T @ (n * (p - goal)) / n.sum() * 4 + penalty * unary)
+        if found.chain:
+            pairs = np.full((k, k), 0.5)
+            for (a, b), c in found.chain.items():
+                pairs[a, b] += c
             share = pairs / pairs.sum()
             chain = np.clip(0.5 * np.log(share / (share.sum(1, keepdims=True) * share.sum(0, keepdims=True))), -2, 2)
-        if g.skip:
-            a, b = np.array(g.skip).T
-            same = ((y[a] == y[b]).sum() + 1) / (len(a) + 2)
+        if found.skip:
+            same = (found.skip[(1,)] + 1) / (sum(found.skip.values()) + 2)
             skip = float(np.clip(np.log(same / (1 - same)), 0.5, 3))
     return Field(unary, chain, skip)
 
@@ -318,11 +345,21 @@ def hidden(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
     return "".join(out) + text[at:]
 
 
-def train(docs: DataFrame, text_col: str = "text", train_rows: int = 800, longest: int = 20_000) -> Field:
-    """Fits the field on at most 2 * train_rows documents that hold a candidate, of at most longest characters each."""
-    text = F.col(text_col).cast("string")
-    some = docs.select(text.alias("t")).where(F.col("t").rlike("[0-9@]") & (F.length("t") <= longest))
-    return fit([r[0] for r in smallest_hashes(some, F.xxhash64("t"), train_rows).collect()])
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column(0):
+            rows = evidence([text.as_py()]).rows()
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64()))], names=["kind", "key", "n"])
+
+
+def train(docs: DataFrame, text_col: str = "text", train_rows: int = 800) -> Field:
+    """Fits the field on at most 2 * train_rows documents that hold a candidate. The driver gets a row for each distinct set of features and label."""
+    text = F.col(f"`{text_col}`").cast("string")
+    some = smallest_hashes(docs.select(text.alias("t")).where(F.col("t").rlike("[0-9@]")), F.xxhash64("t"), train_rows)
+    found = Evidence(Counter(), Counter(), Counter())
+    for kind, key, n in some.mapInArrow(_evidence, "kind int, key string, n long").groupBy("kind", "key").agg(F.sum("n")).collect():
+        found.add(kind, key, n)
+    return fit(found)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None, **training) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -62,7 +64,7 @@ def slow_spans(text):
     return sorted(out)
 
 
-def test_pii(docs, texts, odd):
+def test_pii(docs, texts, odd, empty):
     random.seed(1)
     for _ in range(5000):
         t = "".join(random.choice("ab@..1234+ -()é_") for _ in range(random.randint(0, 40)))
@@ -71,12 +73,37 @@ def test_pii(docs, texts, odd):
         base = slow_spans(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest() and (r.n_email, r.n_phone) == (sum(k == 0 for _, k, _ in base), sum(k == 3 for _, k, _ in base))
         assert set(pii.joined(base).split(",")) <= set(r.spans.split(","))
-    field = pii.fit([f"call +1 (743) 555-{i:04d} or mail user{i}@mail.example.com or 10.0.{i % 250}.1 now" for i in range(60)])
+    field = pii.fit(pii.evidence([f"call +1 (743) 555-{i:04d} or mail user{i}@mail.example.com or 10.0.{i % 250}.1 now" for i in range(60)]))
     text = "first +1 (743) 555-3824 and later 743-555-3824 again"
     base, every = pii.spans_of([text], field)
     assert len(base[0]) == 1 and {text[s:e] for s, _, e in every[0]} == {"+1 (743) 555-3824", "743-555-3824"}
     assert pii.hidden(text, every[0]) == "first [PHONE] and later [PHONE] again"
     assert pii.redacted(odd).columns == odd.columns and pii.redacted(odd).count() == len(ODD)
+    rows = {r.doc_id: r for r in pii.find(odd, field=field).collect()}
+    assert len(pii.find(odd, field=field).collect()) == len(ODD) and rows[1].spans == rows[2].spans == "" and rows[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert pii.find(empty).count() == 0 and pii.train(empty).skip == 0
+    # Whole tokens count: evidence behind thousands of characters, and long runs without blanks take linear time.
+    assert pii.features("a" * 5000 + "1234", "", "") != pii.features("a" * 5000, "", "")
+    began = time.process_time()
+    for run in ("a" * 2_000_000 + " 1", "a1" * 1_000_000, "日" * 2_000_000 + "7", "1" * 2_000_000, "a@" * 500_000):
+        assert len(pii.graph([run]).spans) == 1 and len(pii.spans_of([run], field)[0][0]) <= 1
+    assert time.process_time() - began < 60
+
+
+def test_pii_marginals():
+    """Sum-product on a chain with one skip edge that closes no loop equals enumeration of all labellings."""
+    g = np.random.default_rng(4)
+    k = len(pii.LABELS)
+    field = pii.Field(g.normal(size=(pii.N_FEATURES, k)), g.normal(size=(k, k)), 1.2)
+    graph = pii.Graph([(0, 0, 1)] * 4, [[0, 2], [0, 5], [0, 7, 9], [0, 3]], [(0, 1), (2, 3)], [(1, 2)])
+    local = pii.matrix(graph.feats) @ field.unary
+    want = np.zeros((4, k))
+    for y in itertools.product(range(k), repeat=4):
+        w = np.exp(sum(local[i, y[i]] for i in range(4)) + field.chain[y[0], y[1]] + field.chain[y[2], y[3]] + field.skip * (y[1] == y[2]))
+        for i in range(4):
+            want[i, y[i]] += w
+    want /= want.sum(1, keepdims=True)
+    assert pii.posteriors(graph, field, rounds=60) == pytest.approx(want, abs=5e-3)
 
 
 def test_rules(docs, texts, odd, empty, spark):
@@ -117,11 +144,40 @@ def test_langid(spark, odd, empty):
     rows = {r.doc_id: r for r in langid.predict(made, langid.train(odd)).collect()}
     assert (rows[1].lang_pred, rows[2].lang_pred, rows[3].score) == ("und", "und", 0.0) and rows[9].lang_pred in ("en", "fr")
     assert langid.predict(made.limit(0), langid.train(empty)).count() == 0 and langid.train(empty) is None
+    g = np.random.default_rng(0)
+    model = langid.Model(["a", "b", "c"], np.rint(g.normal(size=(langid.DIMS, 3)) * langid.UNIT).astype(np.int64), np.array([0.1, -0.2, 0.0]), 1.3)
+
+    def slow(text):
+        low = text.lower()
+        found = [low[i : i + n] for n in langid.ORDERS for i in range(len(low) - n + 1)]
+        total = sum(model.weights[int(langid.hashes(langid.codes(x), len(x))[0])] for x in found)
+        return (total / langid.UNIT / len(found) + model.bias).tolist()
+
+    texts = ["a", "ab", "the cat", "ΣΑΣ İs", "x\0\0y \0", "日本語 text", "é" * 700, "the cat sat " * 90]
+    want = [slow(t) for t in texts]
+    assert langid.logits(texts, model) == pytest.approx(np.array(want), abs=1e-9)
+    for _ in range(20):  # any order, neighbours and size of the parts
+        order = g.permutation(len(texts)).tolist()
+        size, langid.WINDOW = langid.WINDOW, int(g.integers(1, 900))
+        try:
+            got = langid.logits([texts[i] for i in order], model).tolist()
+        finally:
+            langid.WINDOW = size
+        assert got == langid.logits(texts, model)[order].tolist()
+    alone = {t: langid.logits([t], model)[0].tolist() for t in texts}
+    assert all(alone[t] == row for t, row in zip(texts, langid.logits(texts, model).tolist(), strict=True))
     long = "the cat " * 300_000
-    model = langid.Model(["a", "b"], np.random.default_rng(0).normal(size=(langid.DIMS, 2)), np.zeros(2), 1.0)
     assert langid.logits([long], model)[0] == pytest.approx(langid.logits(["the cat " * 100], model)[0], abs=1e-2)
 
 
+def test_langid_row_order(spark):
+    """The same documents in other orders and partitions have the same scores."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", F.lit(True).alias("held_out"))
+    model = langid.train(d)
+    first, second = ({r.doc_id: (r.lang_pred, r.score) for r in langid.predict(x, model).collect()} for x in (d, d.repartition(5).orderBy(F.desc("doc_id"))))
+    assert first == second and len(first) == 1000
+
+
 def components_of(nodes, edges):
     root = {n: n for n in nodes}
 
