@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, free_name, ship, table
 from .components import components
@@ -206,17 +207,45 @@ def classes(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """docs with one document of each component, that of the smallest id; all columns stay. The text isn't shuffled unless ids repeat."""
+    """docs with one document of each component, that of the smallest id (null last); all columns stay.
+
+    Rows that share an id but not a text are documents of their own; rows that share both are copies, of which one stays.
+    """
     given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return kept_of(docs, link(fingerprints(given, width), radius), id_col)
+    prints = fingerprints(given, width)
+    edges = near(cut(prints.select("fp").distinct()), radius)
+    return kept_of(docs, prints, components(edges), id_col, text_col, lambda t: signed(fingerprint(shingle_hashes(t, width))))
+
+
+def _named(name_of, column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([name_of(t.as_py()) for t in batch.column(0)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], made], names=[*batch.schema.names[1:], column])
+
+    return run
 
 
-def kept_of(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The rows of docs that found (doc_id, component_id) names as their component."""
-    own = free_name(docs, "keep_id")
-    keep = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias(own)).count())
-    kept = docs.join(keep.drop("count"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own)), "left_semi")
-    return kept if keep.where("count > 1").isEmpty() else kept.dropDuplicates([id_col])
+def kept_of(docs: DataFrame, prints: DataFrame, roots: DataFrame, id_col: str, text_col: str, name_of) -> DataFrame:
+    """One row of docs for each component. prints: doc_id, fp of every row; roots: node, root of the linked fp; name_of: fp of a text.
+
+    The text stays where it is unless its id is null or comes twice: only then is its fp computed again to tell the rows apart.
+    """
+    own, fp, text, other, name = (free_name(docs, n) for n in ("keep_id", "keep_fp", "keep_text", "keep_several", "keep_name"))
+    firsts = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"))
+    linked = firsts.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), F.struct("first.none", "first.doc_id", "fp").alias("k"))
+    heads = cut(linked.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias(own), F.col("k.fp").alias(fp)))
+    several = cut(prints.groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(own).isNull()).select(own))
+    here = F.col(f"`{id_col}`").cast("long")
+    alone = heads.join(several.withColumnRenamed(own, other), F.col(own).eqNullSafe(F.col(other)), "left_anti")
+    kept = docs.join(alone.select(own), here == F.col(own), "left_semi")
+    if several.isEmpty():
+        return kept
+    both = docs.join(heads.join(several.withColumnRenamed(own, other), F.col(own).eqNullSafe(F.col(other)), "left_semi").select(own).distinct(), here.eqNullSafe(F.col(own)), "left_semi")
+    given = both.select(F.col(f"`{text_col}`").cast("string").alias(text), *[F.col(f"`{c}`") for c in docs.columns])
+    made = given.mapInArrow(_named(name_of, fp), T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
+    picked = made.join(heads.select(F.col(own), F.col(fp).alias(name)), here.eqNullSafe(F.col(own)) & (F.col(fp) == F.col(name)), "left_semi")
+    return kept.unionByName(picked.dropDuplicates([id_col, fp]).drop(fp))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

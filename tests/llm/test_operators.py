@@ -258,6 +258,18 @@ def test_jaccard(spark, odd, empty):
     assert jaccard.keep_one(empty).count() == 0
 
 
+def test_keep_one_ids(spark):
+    """Null and repeated ids: no document without a duplicate is lost, and of copies one stays."""
+    from lidarloom.llm import jaccard
+
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, words(1)), (None, words(2)), (7, words(3)), (7, words(4)), (7, words(4)), (8, words(4)), (9, words(1)), (None, words(2)), (10, None), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"made": F.lit(1), "several": F.lit(2), "head_fp": F.lit(3), "keep_fp": F.lit(4)})
+    want = sorted([(7, words(3)), (7, words(4)), (9, words(1)), (None, words(2)), (10, None)], key=str)
+    for kept in (jaccard.keep_one(frame), simhash.keep_one(frame)):
+        assert kept.columns == frame.columns and sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == want
+
+
 def test_suffix_order():
     random.seed(4)
     for memory in (0, 64, 1 << 30):
@@ -299,6 +311,10 @@ def test_windows(spark, odd, empty):
         for j in range(i + 45, 150):
             held = [w for w in found if w[0] <= i <= w[1] <= j <= w[2]]
             assert len(held) == 1 and held[0][1] == i + int(v[i : j + 1].argmin())
+    began = time.process_time()
+    for v in (np.zeros(2_000_000, np.uint64), np.arange(2_000_000, dtype=np.uint64) % 7):
+        assert windows.compact_windows(v, 46)[0] == (0, 0, len(v) - 1)
+    assert time.process_time() - began < 20
     voc = ["".join(random.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
     para = lambda n: [random.choice(voc) for _ in range(n)]
     p, q, rows = para(80), para(120), []
