@@ -8,8 +8,10 @@
 3. Anchors with several contents (the borders of repeated passages) fetch their bytes and are dealt out into shards; a shard is put
    into suffix order by induced sorting, and windows that neighbour in that order with 100 common bytes are equal: all but
    the first are flagged. Shards hold only such bytes, and the queues of the induction spill to disk.
-4. Flagged windows of a document are united, and what is left is hashed.
-
+   An anchor with more bytes than a shard may have is split, again and again: windows are told apart by where they hold the anchor, half by
+   half, and by all bytes that windows of a half share, so that equal windows stay together. After seven halvings the windows of a
+   group hold the same 100 bytes and are settled by an aggregate. So no task holds more than a shard and an anchor, however
+   many contexts a line comes in.
 Order is by doc_id (null first), then by place; rows that repeat an id are documents of their own that aren't earlier than each other at the same
 place. A null text is empty. An empty table gives no rows.
 """
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_table, release, ship, table
+from .common import cut, cut_table, release, ship, table
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text worked on at once; a longer text is worked on in parts that overlap by a window less one byte.
@@ -84,7 +86,7 @@ def anchors(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = L
     return h[own[new]], place[new], place[last]
 
 
-RECORD = "h long, c long, doc long, twin int, lo long, hi long, done boolean"
+RECORD = "h long, c long, doc long, twin long, lo long, hi long, done boolean"
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +112,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = (doc != doc[head]) | (lo != lo[head])
         h = h.view(np.int64).copy()
         h[same] = np.flatnonzero(same) * 0x9E3779B1 ^ doc[same]  # settled: goes anywhere
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.view(np.int64)), pa.array(doc), pa.array(twin.astype(np.int32)), pa.array(lo), pa.array(hi), pa.array(same)], names=[x.split()[0] for x in RECORD.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.view(np.int64)), pa.array(doc), pa.array(twin), pa.array(lo), pa.array(hi), pa.array(same)], names=[x.split()[0] for x in RECORD.split(", ")])
 
     held, size = [], 0
     for batch in batches:
@@ -129,49 +131,50 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-FOUND = "h long, doc long, twin int, lo long, hi long, open boolean"
+FOUND = "h long, doc long, twin long, lo long, hi long, open boolean"
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by h, c, doc, lo. Gives flagged windows, and the first record of each content of anchors with several."""
+    """Rows come sorted by h, c, doc, lo. Gives flagged windows, and the first record of each content of anchors with several.
+
+    One row is carried from batch to batch: the first of the last content, and whether it has been given already.
+    """
     names = [x.split()[0] for x in FOUND.split(", ")]
-    rest = None
+    keys = ("h", "c", "doc", "twin", "lo", "hi")
+    carry, given = None, False
+
+    def made(x: dict, pick: np.ndarray, is_open: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.array(x[n][pick]) for n in ("h", "doc", "twin", "lo", "hi")], pa.array(np.full(int(pick.sum()), is_open))], names=names)
+
     for batch in batches:
         done = batch.column(6).to_numpy(zero_copy_only=False)
-        x = {n: batch.column(i).to_numpy() for i, n in enumerate(("h", "c", "doc", "twin", "lo", "hi"))}
+        x = {n: batch.column(i).to_numpy() for i, n in enumerate(keys)}
         if done.any():
-            yield pa.RecordBatch.from_arrays([*[pa.array(x[n][done]) for n in ("h", "doc", "twin", "lo", "hi")], pa.array(np.zeros(done.sum(), bool))], names=names)
+            yield made(x, done, False)
         x = {n: v[~done] for n, v in x.items()}
-        if rest is not None:
-            x = {n: np.concatenate([rest[n], v]) for n, v in x.items()}
-        h = x["h"]
-        if not len(h):
+        if not len(x["h"]):
             continue
-        # Contents but for their first rows are flagged at once; first rows wait until their anchor is over.
-        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (x["c"][1:] != x["c"][:-1])]))
-        head = np.repeat(first, np.diff(np.append(first, len(h))))
+        carried = carry is not None
+        if carried:
+            x = {n: np.concatenate([carry[n], v]) for n, v in x.items()}
+        first = np.flatnonzero(np.concatenate([[True], (x["h"][1:] != x["h"][:-1]) | (x["c"][1:] != x["c"][:-1])]))
+        head = np.repeat(first, np.diff(np.append(first, len(x["h"]))))
         later = (x["doc"] != x["doc"][head]) | (x["lo"] != x["lo"][head])
         if later.any():
-            yield pa.RecordBatch.from_arrays([*[pa.array(x[n][later]) for n in ("h", "doc", "twin", "lo", "hi")], pa.array(np.zeros(later.sum(), bool))], names=names)
+            yield made(x, later, False)
         x = {n: v[~later] for n, v in x.items()}
-        over = np.searchsorted(x["h"], x["h"][-1]) if len(x["h"]) else 0
-        yield from _open({n: v[:over] for n, v in x.items()}, names)
-        rest = {n: v[over:] for n, v in x.items()}
-    if rest is not None:
-        yield from _open(rest, names)
-
-
-def _open(x: dict, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Of whole anchors: the records of those that have more than one content."""
-    h = x["h"]
-    if len(h):
-        new = np.concatenate([[True], (h[1:] != h[:-1])])
-        group = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        mixed = np.bincount(group, x["c"] != x["c"][first][group]) > 0
-        keep = mixed[group]
+        h, c = x["h"], x["c"]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        sizes = np.diff(np.append(starts, len(h)))
+        mixed = np.add.reduceat(c != c[np.repeat(starts, sizes)], starts) > 0
+        if carried and given:
+            mixed[0] = True
+        keep = np.repeat(mixed, sizes)
+        if carried and given:
+            keep[0] = False
         if keep.any():
-            yield pa.RecordBatch.from_arrays([*[pa.array(x[n][keep]) for n in ("h", "doc", "twin", "lo", "hi")], pa.array(np.ones(keep.sum(), bool))], names=names)
+            yield made(x, keep, True)
+        carry, given = {n: v[-1:] for n, v in x.items()}, bool(mixed[-1])
 
 
 class Queue:
@@ -351,17 +354,64 @@ def equal_windows(rows: list[tuple[int, int, int, int, bytes]], length: int = LE
     return [(*rows[r][:2], lo, hi) for r, lo, hi in zip(row[new].tolist(), place[new].tolist(), place[last].tolist(), strict=True)]
 
 
+PIECE = "h long, doc long, twin long, lo long, hi long, raw binary, spot int"
+PIECE_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(PIECE_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, PIECE_KINDS, strict=True)], names=[x.split()[0] for x in PIECE.split(", ")])
+
+
+def anchor_spots(raws: list[bytes], length: int = LENGTH, k: int = GRAM) -> list[int]:
+    """Where the anchor begins in each record: in its first window as in all others."""
+    h = gram_hashes(np.frombuffer(b"".join([r[:length] for r in raws]), np.uint8), k)
+    h = np.lib.stride_tricks.sliding_window_view(np.append(h, np.zeros(k - 1, np.uint64)), length)[::length, : length - k + 1] >> np.uint64(32)
+    return (h.shape[1] - 1 - h[:, ::-1].argmin(1)).tolist()
+
+
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, twin, text, spans (h, lo, hi): the bytes of each record."""
+    """doc, twin, text, spans (h, lo, hi): the bytes of each record, and where in them its anchor is."""
     for batch in batches:
         for doc, twin, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
             raw = memoryview(text.as_buffer())
             for i in range(0, len(spans), 5000):
-                some = spans[i : i + 5000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s["h"] for s in some], pa.int64()), pa.array([doc] * len(some), pa.int64()), pa.array([twin] * len(some), pa.int32()), pa.array([s["lo"] for s in some], pa.int64()), pa.array([s["hi"] for s in some], pa.int64()), pa.array([bytes(raw[s["lo"] : s["hi"] + LENGTH]) for s in some], pa.binary())],
-                    names=["h", "doc", "twin", "lo", "hi", "raw"],
-                )
+                some = [(s["h"], s["lo"], s["hi"], bytes(raw[s["lo"] : s["hi"] + LENGTH])) for s in spans[i : i + 5000]]
+                yield _pieces([(h, doc, twin, lo, hi, part, spot) for (h, lo, hi, part), spot in zip(some, anchor_spots([r[3] for r in some]), strict=True)])
+
+
+#: Ways in which a window can hold its anchor.
+SPOTS = LENGTH - GRAM + 1
+
+
+def halves(level: int) -> list[tuple[int, int]]:
+    """First and last spot of the anchor in the windows of each part, after so many halvings."""
+    out = [(0, SPOTS - 1)]
+    for _ in range(level):
+        out = [p for a, b in out for p in (((a, (a + b) // 2), ((a + b) // 2 + 1, b)) if a < b else ((a, b),))]
+    return out
+
+
+def _split(level: int):
+    """Records of anchors that are too large, cut by the parts of a level; a part's name includes all bytes that its windows share."""
+    parts = halves(level)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, size = [], 0
+            for h, doc, twin, lo, hi, raw, spot in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for a, b in parts:
+                    s, e = max(0, spot - b), min(hi - lo, spot - a)  # windows, counted from the record's first
+                    if s <= e:
+                        name = xxhash.xxh3_64_intdigest(raw[spot - a : spot - b + LENGTH], (h ^ (a * 0x9E3779B97F4A7C15)) % (1 << 64))
+                        out.append((name - (1 << 64) if name >> 63 else name, doc, twin, lo + s, lo + e, raw[s : e + LENGTH], spot - s))
+                        size += e - s + LENGTH
+                if size > 8 << 20:
+                    yield _pieces(out)
+                    out, size = [], 0
+            yield _pieces(out)
+
+    return run
 
 
 def _sort_shards(shard_bytes: int):
@@ -374,7 +424,7 @@ def _sort_shards(shard_bytes: int):
         def done():
             found = equal_windows(held)
             columns = list(zip(*found, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["doc", "twin", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(),) * 4, strict=True)], names=["doc", "twin", "lo", "hi"])
 
         for batch in batches:
             for h, *row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
@@ -390,14 +440,38 @@ def _sort_shards(shard_bytes: int):
     return run
 
 
-def flagged(docs: DataFrame, shard_bytes: int = 4 << 20) -> DataFrame:
+def shard_windows(raw: DataFrame, shard_bytes: int) -> DataFrame:
+    """raw: the columns of PIECE. Windows that equal an earlier one: doc, twin, lo, hi. Anchors of more than shard_bytes are split first."""
+    out, level = [], 0
+    while True:
+        sizes = raw.groupBy("h").agg(F.sum(F.octet_length("raw")).alias("n")).where(F.col("n") > shard_bytes)
+        hot = cut(sizes.select("h"))
+        small = raw if hot.isEmpty() else raw.join(hot, "h", "left_anti")
+        out.append(small.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_shards(shard_bytes), "doc long, twin long, lo long, hi long"))
+        if hot.isEmpty():
+            break
+        level += 1
+        # Each level begins from what is left of the records of the level before; the anchor's own name is part of the new one.
+        raw = cut_table(raw.join(hot, "h", "left_semi").select(*[x.split()[0] for x in PIECE.split(", ")]).mapInArrow(_split(level), PIECE))
+        if all(a == b for a, b in halves(level)):
+            firsts = raw.groupBy("h", "raw").agg(F.min(F.struct("doc", "lo")).alias("first"))
+            both = raw.join(firsts, ["h", "raw"]).where((F.col("doc") != F.col("first.doc")) | (F.col("lo") != F.col("first.lo")))
+            out.append(both.select("doc", "twin", "lo", "hi"))
+            break
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def flagged(docs: DataFrame, shard_bytes: int = 1 << 20) -> DataFrame:
     """docs: doc, twin, text. Windows to remove: doc, twin, lo, hi (first and last start of 100-byte strings that start earlier elsewhere)."""
     found = cut_table(docs.where(F.octet_length("text") >= LENGTH).mapInArrow(_records, RECORD).repartition("h").sortWithinPartitions("h", "c", "doc", "lo").mapInArrow(_settle, FOUND))
     release(docs.sparkSession)
-    spans = found.where("open").groupBy("doc", "twin").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("spans"))
-    raw = docs.join(spans, ["doc", "twin"]).select("doc", "twin", "text", "spans").mapInArrow(_bytes, "h long, doc long, twin int, lo long, hi long, raw binary")
-    sorted_ = raw.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_shards(shard_bytes), "doc long, twin int, lo long, hi long")
-    return found.where("not open").select("doc", "twin", "lo", "hi").unionByName(sorted_)
+    spans = found.where("open").groupBy("doc", "twin").agg(F.collect_set(F.struct("h", "lo", "hi")).alias("spans"))
+    raw = cut_table(docs.join(spans, ["doc", "twin"]).select("doc", "twin", "text", "spans").mapInArrow(_bytes, PIECE))
+    release(docs.sparkSession)
+    return found.where("not open").select("doc", "twin", "lo", "hi").unionByName(shard_windows(raw, shard_bytes))
 
 
 def removed_runs(spans: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -432,14 +506,14 @@ def _finish(full: bool):
     return run
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: bool = True, shard_bytes: int = 1 << 20) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with full the bytes that stay (they may split a character)."""
     ship(docs.sparkSession)
     text = F.col(text_col).cast("string")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    keyed = given.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("twin"), "text")
-    found = flagged(keyed.select("doc", "twin", "text"))
-    spans = found.groupBy("doc", "twin").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    keyed = given.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("twin"), "text")
+    found = flagged(keyed.select("doc", "twin", "text"), shard_bytes)
+    spans = found.groupBy("doc", "twin").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     whole = keyed.join(spans, ["doc", "twin"], "left").select("doc_id", "text", "spans")
     return whole.mapInArrow(_finish(full), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full)
 

@@ -298,11 +298,38 @@ def test_suffixes(spark, empty):
             if seen[b[i : i + 100]] < (d, i):
                 mask[i : i + 100] = True
         want[d] = (len(b), int(mask.sum()), int((np.diff(np.append(0, mask.astype(int))) == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~mask].tobytes()).hexdigest())
-    got = suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == len(rows) and all(want[r.doc_id] == (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) and hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for shard in (4 << 20, 4000, 300):  # small shards: anchors are split, down to single windows
+        got = suffixes.dedup(frame, shard_bytes=shard).collect()
+        assert len(got) == len(rows) and all(want[r.doc_id] == (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) and hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
     assert suffixes.dedup(empty).count() == 0
 
 
+def test_suffixes_frequent_line(spark, odd):
+    """A line in thousands of contexts: shards stay small, results are those of brute force; clashing names and null ids do no harm."""
+    random.seed(3)
+    line = "the one line of fifty characters that all texts have"
+    letters = lambda n: "".join(random.choice("abcdefgh") for _ in range(n))
+    ends = [letters(60) for _ in range(25)]
+    rows = [(i if i % 50 else None, random.choice(ends) + line + random.choice(ends)) for i in range(1500)]
+    seen: dict = {}
+    key = lambda d: -(2**63) if d is None else d
+    for d, t in rows:
+        for i in range(len(t) - 99):
+            seen[t[i : i + 100]] = min(seen.get(t[i : i + 100], (key(d), i)), (key(d), i))
+    want = Counter()
+    for d, t in rows:
+        mask = np.zeros(len(t), bool)
+        for i in range(len(t) - 99):
+            if seen[t[i : i + 100]] < (key(d), i):
+                mask[i : i + 100] = True
+        want[d, int(mask.sum()), "".join(c for c, m in zip(t, mask, strict=True) if not m)] += 1
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffixes.dedup(frame.withColumns({"twin": F.lit(1), "spans": F.lit(2), "h": F.lit(3)}), shard_bytes=3000).collect()
+    assert Counter((r.doc_id, r.n_removed, bytes(r.kept).decode()) for r in got) == want
+    assert suffixes.halves(7) == [(i, i) for i in range(suffixes.SPOTS)] and suffixes.dedup(odd).count() == len(ODD)
+
+
 def test_windows(spark, odd, empty):
     random.seed(2)
     v = np.array([random.randint(0, 10**9) for _ in range(150)])
