@@ -368,6 +368,37 @@ def test_windows_inserted_sentence(spark):
     assert {(2, 40, 152, 1, round(90 / 112, 3)), (3, 9, 107, 1, 1.0), (3, 127, 187, 1, 1.0)} <= got
 
 
+def test_windows_template(spark):
+    """Exact copies amid variants of one template: in each family two of sixty documents, neither first nor neighbours, hold the same passage."""
+    random.seed(21)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(8))
+    rows, copies = [], []
+    for f in range(12):
+        p = [word() for _ in range(80)]
+        at = sorted(random.sample(range(5, 60), 2))
+        own = None
+        for i in range(60):
+            q = list(p)
+            for k in random.sample(range(80), 5):
+                q[k] = word()
+            if i in at:
+                q = own = own or q
+            rows.append((100 * f + i, " ".join([word() for _ in range(20)] + q + [word() for _ in range(20)])))
+        copies.append((100 * f + at[1], 100 * f + at[0]))
+    got = {(r.doc, r.source_doc) for r in windows.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.similarity > 0.95}
+    assert sum(c in got for c in copies) >= 11
+
+
+def test_windows_odd_ids(spark):
+    """Null ids and repeated ids with other texts: spans are cut from the text that has them."""
+    g = random.Random(8)
+    para = lambda n: ["".join(g.choice("abcdefgh") for _ in range(8)) for _ in range(n)]
+    p = para(70)
+    rows = [(None, " ".join(p + para(10))), (5, " ".join(para(30))), (5, " ".join(para(12) + p)), (6, None), (6, "")]
+    left = [r.text for r in windows.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(len(t.split()) for t in left if t) == [12, 30, 80]
+
+
 def test_packing(docs, texts, odd, empty):
     from tokenizers import Tokenizer
 
