@@ -6,14 +6,17 @@ import math
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import error
 
 #: WGS84 and GRS80.
 A, WGS84_F, GRS80_F = 6378137.0, 1 / 298.257223563, 1 / 298.257222101
 FOOT, US_FOOT = 0.3048, 1200 / 3937
+PROJECTIONS = ("longlat", "latlong", "lcc", "merc", "tmerc", "utm")
 WGS84_DEFINITION = "+proj=longlat +datum=WGS84 +no_defs"
 
 TOKEN = re.compile(r'"[^"]*(?:"|$)|\[|\]|[A-Z_]+(?=\s*\[)')
@@ -40,6 +43,12 @@ def epsg_code(wkt: str | None) -> int | None:
     return codes.get("PROJCS") if projected else codes.get("GEOGCS")
 
 
+@F.pandas_udf(T.IntegerType())
+def epsg_codes(wkts: pd.Series) -> pd.Series:
+    """epsg_code() of a column, a batch at a time."""
+    return wkts.map(epsg_code).astype("Int32")
+
+
 class Registry:
     """EPSG codes to proj4 definitions; a code registered again replaces the former definition."""
 
@@ -78,6 +87,19 @@ def check_definition(definition: str) -> dict[str, str | bool]:
     if "proj" not in found:
         reason = "missing-projection" if definition.strip().startswith("+") else "alias"
         raise error("crs-definition-unusable", f"the definition has no projection ({reason})", reason=reason)
+    for key, held, reason in (("ellps", ("GRS80", "WGS84"), "unsupported-ellipsoid"), ("datum", ("WGS84", "NAD83"), "unsupported-datum"), ("axis", ("enu",), "unsupported-axis")):
+        if key in found and found[key] not in held:
+            raise error("crs-definition-unusable", f"+{key}={found[key]} isn't built in", reason=reason)
+    if any(k in found for k in ("a", "b", "r", "rf", "f", "es", "e")):
+        raise error("crs-definition-unusable", "ellipsoids by their axes aren't built in", reason="unsupported-ellipsoid")
+    if "towgs84" in found and any(float(v) for v in str(found["towgs84"]).split(",")):
+        raise error("crs-definition-unusable", "datum shifts aren't built in", reason="unsupported-datum")
+    if str(found.get("pm", "greenwich")).lower() not in ("greenwich", "0"):
+        raise error("crs-definition-unusable", f"the prime meridian {found['pm']} isn't built in", reason="unsupported-meridian")
+    if found["proj"] not in PROJECTIONS:
+        raise error("crs-definition-unusable", f"projection {found['proj']} isn't built in", reason="unsupported-projection")
+    if found["proj"] == "utm" and not 1 <= int(found.get("zone", 0)) <= 60:
+        raise error("crs-definition-unusable", "utm needs a zone from 1 to 60", reason="unsupported-projection")
     return found
 
 
@@ -95,36 +117,92 @@ class Transform:
     found: dict
     unit: float
 
-    def with_wgs84(self, df: DataFrame, x: str, y: str, z: str, prefix: str = "") -> DataFrame:
-        """df with columns lon, lat and height (each with the prefix). Steps of the latitude iteration are staged, so that none is repeated."""
-        lon, lat, height = f"{prefix}lon", f"{prefix}lat", f"{prefix}height"
-        kind = self.found["proj"]
-        df = df.withColumn(height, F.col(z) * F.lit(self.unit))
-        if kind in ("longlat", "latlong"):
-            return df.withColumns({lon: F.col(x), lat: F.col(y)})
-        number = lambda k, d=0.0: float(self.found.get(k, d))
-        f = GRS80_F if self.found.get("datum") in ("NAD83",) or self.found.get("ellps") == "GRS80" else WGS84_F
-        e = math.sqrt(f * (2 - f))
-        east, north = F.col(x) * F.lit(self.unit) - F.lit(number("x_0")), F.col(y) * F.lit(self.unit) - F.lit(number("y_0"))
-        work = f"{prefix}__t"
+    def number(self, key: str, default: float = 0.0) -> float:
+        return float(self.found.get(key, default))
+
+    @property
+    def flattening(self) -> float:
+        return GRS80_F if "GRS80" in (self.found.get("ellps"), {"NAD83": "GRS80"}.get(str(self.found.get("datum")))) else WGS84_F
+
+    @property
+    def eccentricity(self) -> float:
+        return math.sqrt(self.flattening * (2 - self.flattening))
+
+    def lonlat(self, point: Column) -> Column:
+        """Struct lon, lat (degrees) of a struct x, y (file units), as one expression: for arrays, where columns can't be staged."""
+        if self.found["proj"] in ("longlat", "latlong"):
+            return F.struct(point["x"].alias("lon"), point["y"].alias("lat"))
+        e = self.eccentricity
+        once = lambda value, body: F.transform(F.array(value), body)[0]
+
+        def latitude(t: Column) -> Column:
+            def step(phi: Column, _: Column) -> Column:
+                s = F.lit(e) * F.sin(phi)
+                return F.lit(math.pi / 2) - 2 * F.atan(t * F.pow((1 - s) / (1 + s), F.lit(e / 2)))
+
+            return F.degrees(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.lit(math.pi / 2) - 2 * F.atan(t), step))
+
+        lon, t = self.conformal(point["x"], point["y"])
+        return once(F.struct(lon.alias("lon"), t.alias("t")), lambda v: F.struct(v["lon"].alias("lon"), latitude(v["t"]).alias("lat")))
+
+    def conformal(self, x: Column, y: Column) -> tuple[Column, Column]:
+        """Longitude in degrees, and the isometric t of the latitude: tan(pi / 4 - conformal latitude / 2)."""
+        number, e, kind = self.number, self.eccentricity, self.found["proj"]
+        utm = kind == "utm"
+        x_0, y_0 = (500000.0, 10000000.0 if "south" in self.found else 0.0) if utm else (number("x_0"), number("y_0"))
+        east, north = x * F.lit(self.unit) - F.lit(x_0), y * F.lit(self.unit) - F.lit(y_0)
+        k0 = number("k_0", number("k", 0.9996 if utm else 1.0))
+        lon_0 = 6.0 * int(self.found["zone"]) - 183 if utm else number("lon_0")
         if kind == "lcc":
             lat0, lat1, lat2 = (math.radians(number(k, number("lat_1"))) for k in ("lat_0", "lat_1", "lat_2"))
             m = lambda p: math.cos(p) / math.sqrt(1 - (e * math.sin(p)) ** 2)
             t = lambda p: math.tan(math.pi / 4 - p / 2) / ((1 - e * math.sin(p)) / (1 + e * math.sin(p))) ** (e / 2)
             n = math.log(m(lat1) / m(lat2)) / math.log(t(lat1) / t(lat2)) if abs(lat1 - lat2) > 1e-10 else math.sin(lat1)
-            scale = A * m(lat1) / (n * t(lat1) ** n) * number("k_0", number("k", 1.0))
+            scale = A * m(lat1) / (n * t(lat1) ** n) * k0
             rho0, sign = scale * t(lat0) ** n, math.copysign(1.0, n)
             dy = F.lit(rho0) - north
             rho = F.lit(sign) * F.sqrt(east * east + dy * dy)
-            df = df.withColumns({lon: F.degrees(F.atan2(F.lit(sign) * east, F.lit(sign) * dy) / F.lit(n)) + F.lit(number("lon_0")), work: F.pow(rho / F.lit(scale), F.lit(1 / n))})
-        elif kind == "merc":
-            df = df.withColumns({lon: F.degrees(east / F.lit(A * number("k_0", number("k", 1.0)))) + F.lit(number("lon_0")), work: F.exp(-north / F.lit(A * number("k_0", number("k", 1.0))))})
-        else:
-            raise error("crs-definition-unusable", f"projection {kind} isn't built in", reason="unsupported-projection")
-        return _conformal_latitude(df, work, lat, e)
+            return F.degrees(F.atan2(F.lit(sign) * east, F.lit(sign) * dy) / F.lit(n)) + F.lit(lon_0), F.pow(rho / F.lit(scale), F.lit(1 / n))
+        if kind == "merc":
+            ts = math.radians(number("lat_ts"))
+            k0 = math.cos(ts) / math.sqrt(1 - (e * math.sin(ts)) ** 2) if "lat_ts" in self.found else k0
+            return F.degrees(east / F.lit(A * k0)) + F.lit(lon_0), F.exp(-north / F.lit(A * k0))
+        radius, out, back = kruger(self.flattening)
+        lat0 = math.radians(0.0 if utm else number("lat_0"))
+        chi = math.asin(math.tanh(math.atanh(math.sin(lat0)) - e * math.atanh(e * math.sin(lat0)))) if abs(lat0) < math.pi / 2 else lat0
+        origin = chi + sum(a * math.sin(2 * j * chi) for j, a in enumerate(out, 1))
+        xi, eta = north / F.lit(k0 * radius) + F.lit(origin), east / F.lit(k0 * radius)
+        xi1 = xi - sum(F.lit(b) * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(back, 1))
+        eta1 = eta - sum(F.lit(b) * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(back, 1))
+        lon = F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + F.lit(lon_0)
+        return lon, F.tan(F.lit(math.pi / 4) - F.asin(F.sin(xi1) / F.cosh(eta1)) / 2)
+
+    def with_wgs84(self, df: DataFrame, x: str, y: str, z: str, prefix: str = "") -> DataFrame:
+        """df with columns lon, lat and height (each with the prefix). Steps of the latitude iteration are staged, so that none is repeated."""
+        lon, lat, height = f"{prefix}lon", f"{prefix}lat", f"{prefix}height"
+        kind = self.found["proj"]
+        df = df.withColumn(height, F.col(z) * F.lit(self.unit))
+        if kind in ("longlat", "latlong"):
+            return df.withColumns({lon: F.col(x), lat: F.col(y)})
+        work = f"{prefix}__t"
+        made = self.conformal(F.col(x), F.col(y))
+        return _conformal_latitude(df.withColumns({lon: made[0], work: made[1]}), work, lat, self.eccentricity)
+
+
+def kruger(f: float) -> tuple[float, list[float], list[float]]:
+    """Rectifying radius, and the coefficients of the transverse Mercator series to the fourth order: outwards and back."""
+    n = f / (2 - f)
+    #: The published series in the third flattening.
+    out = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
+    back = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
+    return A / (1 + n) * (1 + n**2 / 4 + n**4 / 64), out, back
+
+
+#: Iterations of the latitude.
+STEPS = 8
 
 
-def _conformal_latitude(df: DataFrame, t: str, lat: str, e: float, steps: int = 8) -> DataFrame:
+def _conformal_latitude(df: DataFrame, t: str, lat: str, e: float, steps: int = STEPS) -> DataFrame:
     """Latitude in degrees from the isometric t by a fixed number of iterations, one projection each."""
     df = df.withColumn(lat, F.lit(math.pi / 2) - 2 * F.atan(F.col(t)))
     for _ in range(steps):

@@ -92,21 +92,33 @@ class Ledger:
 LEDGER = "provider string, seq long, op string, origin string, bytes long, verdict string, reason string, bytes_in_use long, bytes_peak long, host_in_use long, host_peak long"
 
 
+def row(ledger: Ledger, provider: str, seq: int, op: str, lease: int, origin: str, n: int) -> tuple:
+    verdict, reason = ledger.apply(op, int(lease), origin, int(n))
+    host = ledger.host(origin)
+    return provider, int(seq), op, origin, int(n), verdict, reason, ledger.bytes.in_use, ledger.bytes.peak, host.in_use, host.peak
+
+
 def rows(ledger: Ledger, provider: str, events: pd.DataFrame) -> Iterator[tuple]:
-    for seq, op, lease, origin, n in events[["seq", "op", "lease", "origin", "bytes"]].itertuples(index=False):
-        verdict, reason = ledger.apply(op, int(lease), origin, int(n))
-        host = ledger.host(origin)
-        yield provider, int(seq), op, origin, int(n), verdict, reason, ledger.bytes.in_use, ledger.bytes.peak, host.in_use, host.peak
+    for e in events[["seq", "op", "lease", "origin", "bytes"]].itertuples(index=False):
+        yield row(ledger, provider, *e)
+
 
+def ledger(events: DataFrame, range_bytes: int = RANGE_BYTES, slots: int = SLOTS, process: str = "provider") -> DataFrame:
+    """events: provider, seq, op (acquire, release, destroy), lease, origin, bytes. One ordered fold for each process.
 
-def ledger(events: DataFrame, range_bytes: int = RANGE_BYTES, slots: int = SLOTS) -> DataFrame:
-    """events: provider, seq, op (acquire, release, destroy), lease, origin, bytes. One ordered fold for each provider."""
+    process names the column that tells which providers live in one process: these have bytes of their own, but share the slots of an
+    origin. By default each provider is a process.
+    """
     names = [x.split()[0] for x in LEDGER.split(", ")]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(rows(Ledger(range_bytes, slots), key[0], pdf.sort_values("seq"))), columns=names)
+        hosts: dict[str, Counter] = {}
+        ledgers = {p: Ledger(range_bytes, slots, hosts) for p in pdf["provider"].unique()}
+        events = pdf.sort_values("seq")[["provider", "seq", "op", "lease", "origin", "bytes"]]
+        out = [row(ledgers[p], p, *rest) for p, *rest in events.itertuples(index=False)]
+        return pd.DataFrame(out, columns=names)
 
-    return events.groupBy("provider").applyInPandas(run, LEDGER)
+    return events.groupBy(process).applyInPandas(run, LEDGER)
 
 
 def totals(ledger_rows: DataFrame) -> DataFrame:

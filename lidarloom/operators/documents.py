@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import struct
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..errors import error
@@ -62,6 +65,8 @@ def tree_document(rows: pd.DataFrame) -> str:
         made[r.key] = tile
         parent = made.get(r.parent_key) if r.parent_key else None
         if parent is None:
+            if root is not None:
+                raise error("malformed-hierarchy", f"{r.key} is a second root of its page")
             root = tile
             root["refine"] = "ADD"
         else:
@@ -86,6 +91,16 @@ def _padded(text: str, at: int) -> bytes:
     return raw + b" " * (-(at + len(raw)) % 8)
 
 
+@lru_cache(maxsize=4096)
+def batch_table(n: int) -> str:
+    """JSON of the batch table of n points."""
+    table, at = {}, 0
+    for name, dtype, component in BATCH:
+        table[name] = {"byteOffset": at, "componentType": component, "type": "SCALAR"}
+        at += n * np.dtype(dtype).itemsize
+    return dumps(table)
+
+
 def encode_pnts(relative: np.ndarray, centre: list[float], rgb: np.ndarray, batch: dict[str, np.ndarray]) -> bytes:
     """relative: float32 [n, 3]; rgb: uint8 [n, 3]; batch: the columns of BATCH."""
     n = len(rgb)
@@ -100,15 +115,9 @@ def encode_pnts(relative: np.ndarray, centre: list[float], rgb: np.ndarray, batc
     feature_json = _padded(dumps(feature), HEADER)
     body = positions + ids + rgb.astype("u1").tobytes()
     body += b"\0" * (-(HEADER + len(feature_json) + len(body)) % 8)
-    table, parts, at = {}, [], 0
-    for name, dtype, component in BATCH:
-        raw = np.asarray(batch[name]).astype(dtype).tobytes()
-        table[name] = {"byteOffset": at, "componentType": component, "type": "SCALAR"}
-        parts.append(raw)
-        at += len(raw)
     start = HEADER + len(feature_json) + len(body)
-    batch_json = _padded(dumps(table), start)
-    tail = b"".join(parts)
+    batch_json = _padded(batch_table(n), start)
+    tail = b"".join([np.asarray(batch[name]).astype(dtype, copy=False).tobytes() for name, dtype, _ in BATCH])
     tail += b"\0" * (-(start + len(batch_json) + len(tail)) % 8)
     total = start + len(batch_json) + len(tail)
     return MAGIC + struct.pack("<6I", VERSION, total, len(feature_json), len(body), len(batch_json), len(tail)) + feature_json + body + batch_json + tail
@@ -141,14 +150,47 @@ def point_tiles(points: DataFrame, keys: list[str]) -> DataFrame:
     """
     kinds = dict(points.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", point_count long, rtc array<double>, payload binary"
-    names = {"GpsTime": "gps_time", "Intensity": "intensity", "Classification": "classification", "ReturnNumber": "return_number", "NumberOfReturns": "number_of_returns"}
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal")
-        at = pdf[["ex", "ey", "ez"]].to_numpy(float)
-        centre = (at.min(0) + at.max(0)) / 2
-        rgb = pdf[["red", "green", "blue"]].to_numpy(np.int64) >> 8
-        raw = encode_pnts((at - centre).astype(np.float32), centre.tolist(), rgb, {k: pdf[v].to_numpy() for k, v in names.items()})
-        return pd.DataFrame([(*key, len(pdf), centre.tolist(), raw)], columns=[*keys, "point_count", "rtc", "payload"])
-
-    return points.groupBy(*keys).applyInPandas(run, schema)
+    values = ["ex", "ey", "ez", "red", "green", "blue", "gps_time", "intensity", "classification", "return_number", "number_of_returns"]
+    given = points.select(*keys, "ordinal", *values).repartition(*keys).sortWithinPartitions(*keys, "ordinal")
+    return given.mapInArrow(_tiles(len(keys)), schema)
+
+
+def _tiles(n_keys: int):
+    """Rows come sorted by tile and ordinal; tiles are cut from the column buffers, and the last one of a batch waits for the next."""
+    names = [n for n, _, _ in BATCH]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if rest is not None and len(rest):
+                rows = pa.concat_tables([rest, rows])
+            if not len(rows):
+                continue
+            rows = rows.combine_chunks()
+            new = np.zeros(len(rows), bool)
+            new[0] = True
+            for k in range(n_keys):
+                codes = rows.column(k).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            starts = np.flatnonzero(new)
+            rest = rows.slice(starts[-1])
+            if len(starts) > 1:
+                yield made(rows, starts)
+        if rest is not None and len(rest):
+            yield made(rest.combine_chunks(), np.array([0, len(rest)]))
+
+    def made(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        x = [rows.column(i).to_numpy() for i in range(n_keys + 1, rows.num_columns)]
+        at = np.stack(x[:3], axis=1).astype(float)[: starts[-1]]
+        centres = (np.minimum.reduceat(at, starts[:-1]) + np.maximum.reduceat(at, starts[:-1])) / 2
+        sizes = np.diff(starts)
+        relative = (at - np.repeat(centres, sizes, axis=0)).astype("<f4")
+        rgb = (np.stack(x[3:6], axis=1).astype(np.int64)[: starts[-1]] >> 8).astype("u1")
+        batch = {n: v.astype(d, copy=False) for (n, d, _), v in zip(BATCH, x[6:], strict=True)}
+        raws = [encode_pnts(relative[s:e], c, rgb[s:e], {n: batch[n][s:e] for n in names}) for s, e, c in zip(starts[:-1].tolist(), starts[1:].tolist(), centres.tolist(), strict=True)]
+        keys = [rows.column(k).combine_chunks().take(pa.array(starts[:-1])) for k in range(n_keys)]
+        made_ = [pa.array(sizes.astype(np.int64)), pa.array(centres.tolist(), pa.list_(pa.float64())), pa.array(raws, pa.binary())]
+        return pa.RecordBatch.from_arrays([*keys, *made_], names=[*rows.schema.names[:n_keys], "point_count", "rtc", "payload"])
+
+    return run

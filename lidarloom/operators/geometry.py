@@ -30,23 +30,22 @@ def error_at(root: Column, depth: Column) -> Column:
 
 
 def regions(keys: DataFrame, cube: list[float], transform: Transform) -> DataFrame:
-    """keys with region: west, south, east, north (radians), minimum and maximum height (metres).
+    """keys with region: west, south, east, north (radians), minimum and maximum height (metres). No exchange; equal keys stay apart.
 
     The four edges of a cell's outline are sampled; the bounds are padded by how far a sample strays from
-    the straight line between the ends of its edge. Each key becomes its twenty samples and is taken together again, so that
-    the projection is compiled once, not once a sample; the aggregate is partial where the samples are made.
+    the straight line between the ends of its edge. The samples are an array, so that the projection is compiled once.
     """
     own = keys.columns
     df = keys.withColumns({f"__{k}": c for k, c in cell_bounds(cube).items()})
-    part = F.lit(1.0) * F.col("__s") / (SAMPLES - 1)
-    ends = {"x": (("lo", "hi"), ("hi", "hi"), ("hi", "lo"), ("lo", "lo")), "y": (("lo", "lo"), ("lo", "hi"), ("hi", "hi"), ("hi", "lo"))}
-    df = df.withColumn("__e", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))))
-    for c, edges in ends.items():
-        pick = lambda k: F.when(F.col("__e") == 0, F.col(f"__{c}_{edges[0][k]}")).when(F.col("__e") == 1, F.col(f"__{c}_{edges[1][k]}")).when(F.col("__e") == 2, F.col(f"__{c}_{edges[2][k]}")).otherwise(F.col(f"__{c}_{edges[3][k]}"))  # noqa: B023, E731
-        df = df.withColumn(f"__{c}", pick(0) + (pick(1) - pick(0)) * part)
-    df = transform.with_wgs84(df, "__x", "__y", "__z_lo", "__")
-    sample = F.struct("__e", "__s", F.col("__lon").alias("lon"), F.col("__lat").alias("lat"))
-    df = df.groupBy(*own, "__z_lo", "__z_hi").agg(F.array_sort(F.collect_list(sample)).alias("__p"))
+    corner = {k: (F.col(f"__x_{k[0]}"), F.col(f"__y_{k[1]}")) for k in (("lo", "lo"), ("hi", "lo"), ("hi", "hi"), ("lo", "hi"))}
+    outline = [corner[k] for k in (("lo", "lo"), ("hi", "lo"), ("hi", "hi"), ("lo", "hi"))]
+    samples = []
+    for e in range(4):
+        (x0, y0), (x1, y1) = outline[e], outline[(e + 1) % 4]
+        for s in range(SAMPLES):
+            part = F.lit(s / (SAMPLES - 1))
+            samples.append(F.struct((x0 + (x1 - x0) * part).alias("x"), (y0 + (y1 - y0) * part).alias("y")))
+    df = df.withColumn("__p", F.transform(F.array(*samples), transform.lonlat))
     bounds = {}
     for c, low, high in (("lon", "west", "east"), ("lat", "south", "north")):
         values = [F.col("__p")[i][c] for i in range(4 * SAMPLES)]

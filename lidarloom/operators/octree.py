@@ -65,7 +65,7 @@ def synthesized(entries: DataFrame, keys: list[str], root_depth: int = 0) -> Dat
     return ancestor_closure(entries, keys, root_depth).join(entries.select(*keys, *KEY), [*keys, *KEY], "left_anti")
 
 
-def tiles(nodes: DataFrame, pages: DataFrame | None, keys: list[str], token_base: str = "copc://tiles/", root_depth: int = 0) -> DataFrame:
+def tiles(nodes: DataFrame, pages: DataFrame | None, keys: list[str], token_base: str | Column = "copc://tiles/", root_depth: int = 0) -> DataFrame:
     """Nodes, sub-pages and missing ancestors as one table: keys, key, parent_key, kind, synthesized, uri.
 
     A node without points keeps its row and has no content; so has a synthesized ancestor, which its flag tells apart.
@@ -77,7 +77,7 @@ def tiles(nodes: DataFrame, pages: DataFrame | None, keys: list[str], token_base
     every = rows.withColumn("synthesized", F.lit(False)).unionByName(made)
     parent = F.when(F.col("depth") > root_depth, F.concat_ws("-", F.col("depth") - 1, *[F.shiftright(c, 1) for c in KEY[1:]]))
     letter = F.when(F.col("kind") == "points", F.lit("n/")).when(F.col("kind") == "hierarchy", F.lit("h/"))
-    return every.select(*keys, *KEY, key_text().alias("key"), parent.alias("parent_key"), "point_count", "kind", "synthesized", F.concat(F.lit(token_base), letter, key_text()).alias("uri"))
+    return every.select(*keys, *KEY, key_text().alias("key"), parent.alias("parent_key"), "point_count", "kind", "synthesized", F.concat(token_base if isinstance(token_base, Column) else F.lit(token_base), letter, key_text()).alias("uri"))
 
 
 def cell_bounds(cube: list[float]) -> dict[str, Column]:

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.crs import Transform, ecef
 
 
-def scaled(raw: Column, scale: float, offset: float) -> Column:
-    return raw * F.lit(scale) + F.lit(offset)
-
-
 def with_ecef(points: DataFrame, transform: Transform) -> DataFrame:
     """points (x, y, z in file units) with ex, ey, ez."""
     df = transform.with_wgs84(points, "x", "y", "z", "__")
@@ -31,6 +27,16 @@ def relative(points: DataFrame, centres: DataFrame, keys: list[str]) -> DataFram
     return df.withColumns({f"d{c}": (F.col(f"e{c}") - F.col(f"rtc_{c}")).cast("float") for c in "xyz"})
 
 
+def centred(points: DataFrame, keys: list[str]) -> DataFrame:
+    """points with dx, dy, dz as 32-bit floats from the middle of their tile's box: one exchange, positions computed once.
+
+    A tile's points, bounded by the node size of the file format, are buffered by the window, which spills.
+    """
+    w = Window.partitionBy(*keys)
+    middle = lambda c: (F.min(c).over(w) + F.max(c).over(w)) / 2
+    return points.withColumns({f"d{c}": (F.col(f"e{c}") - middle(f"e{c}")).cast("float") for c in "xyz"})
+
+
 def colour8(c: Column) -> Column:
     """16-bit colour to 8 bits, always by a shift."""
     return F.shiftrightunsigned(c.cast("int"), 8)

@@ -76,7 +76,7 @@ def tile_children(spark, d):
 
 
 def duplicate_keys(spark, d):
-    p = D.points(spark, d).where("l_linenumber <= 2").select("url", "depth", F.col("kx").alias("x"), F.col("ky").alias("y"), F.col("kz").alias("z"))
+    p = D.points(spark, d).select("url", "depth", F.col("kx").alias("x"), F.col("ky").alias("y"), F.col("kz").alias("z"))
     return octree.tile_errors(p, K).groupBy("url", "error_code").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -104,8 +104,7 @@ def bbox_rtc(spark, d):
 
 
 def relative_positions(spark, d):
-    p = ecef_points(spark, d)
-    r = points.relative(p, points.boxes(p, PK), PK)
+    r = points.centred(ecef_points(spark, d), PK)
     return r.select("l_orderkey", "l_linenumber", *[(F.round(F.col(f"d{c}").cast("double"), 2) + 0.0).alias(f"d{c}") for c in "xyz"])
 
 
@@ -184,10 +183,10 @@ def attempt_errors(spark, d):
 
 def registry_lookup(spark, d):
     """Requests for tiles: known ones find their key, unknown ones of our scheme are errors, others pass."""
-    tiles = octree.tiles(D.nodes(spark, d), None, K, "copc://t/").where("uri is not null and url = 'file1'").select("uri", "key")
+    tiles = octree.tiles(D.nodes(spark, d), None, K, F.concat(F.lit("copc://t/"), F.col("url"), F.lit("/"))).where("uri is not null").select("uri", "key")
     o = D.read(spark, d, "orders")
-    scheme = F.when(F.col("o_orderkey") % 5 == 0, "https://t/n/").otherwise("copc://t/n/")
-    uri = F.concat(scheme, F.concat_ws("-", F.lit(2), *[F.pmod(F.col("o_orderkey") / F.lit(1), F.lit(4)).cast("long"), F.pmod(F.col("o_custkey"), F.lit(4)), F.pmod(F.col("o_orderkey") + F.col("o_custkey"), F.lit(4))]))
+    scheme = F.when(F.col("o_orderkey") % 5 == 0, "https://t/file").otherwise("copc://t/file")
+    uri = F.concat(scheme, (F.col("o_custkey") % 4).cast("string"), F.lit("/n/"), F.concat_ws("-", F.lit(2), *[F.pmod(F.col("o_orderkey") / F.lit(1), F.lit(4)).cast("long"), F.pmod(F.col("o_custkey"), F.lit(4)), F.pmod(F.col("o_orderkey") + F.col("o_custkey"), F.lit(4))]))
     asked = o.select("o_orderkey", uri.alias("uri")).join(tiles, "uri", "left")
     verdict = F.when(F.col("key").isNotNull(), "found").when(F.col("uri").startswith("copc:"), "unknown-tile-request").otherwise("pass")
     return asked.select("o_orderkey", "uri", "key", verdict.alias("verdict"))
@@ -201,18 +200,50 @@ def crs_lookup(spark, d):
     return found.select("n_nationkey", "code", "definition", F.when(F.col("definition").isNull(), "crs-not-registered").alias("error_code"))
 
 
-WKTS = [
-    'PROJCS["x",GEOGCS["g",AUTHORITY["EPSG","4269"]],AUTHORITY["EPSG","2992"]]',
-    'GEOGCS["WGS 84",DATUM["d",AUTHORITY["EPSG","6326"]],AUTHORITY["EPSG","4326"]]',
-    'PROJCS["Oregon",GEOGCS["NAD83",AUTHORITY["EPSG","4269"]],AUTHORITY["ESRI","102726"]]',
-    'COMPD_CS["c",GEOGCS["a",AUTHORITY["EPSG","4269"]],GEOGCS["b",AUTHORITY["EPSG","4326"]]]',
+#: Shapes of a file's WKT: a projected system, one without a code of its own, a geographic one, and one whose name holds brackets.
+WKT_SHAPES = [
+    ('PROJCS["{n}",GEOGCS["base of {n}",AUTHORITY["EPSG","4258"]],UNIT["metre",1],AUTHORITY["EPSG","{c}"]]', True),
+    ('PROJCS["{n}",GEOGCS["base of {n}",AUTHORITY["EPSG","4258"]],AUTHORITY["LOCAL","{c}"]]', False),
+    ('GEOGCS["{n}",DATUM["datum",AUTHORITY["EPSG","6258"]],AUTHORITY["EPSG","{c}"]]', True),
+    ('COMPD_CS["{n}",PROJCS["[{n}",AUTHORITY["EPSG","{c}"]],VERT_CS["height",AUTHORITY["EPSG","5621"]]]', True),
 ]
 
 
 def wkt_epsg(spark, d):
-    # One row for each file: the scan runs on the driver's list, as it does when a source is opened.
-    known = spark.createDataFrame([(i, w, crs.epsg_code(w)) for i, w in enumerate(WKTS)], "n_regionkey int, wkt string, code int")
-    return D.read(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") % 4).cast("int").alias("n_regionkey")).join(F.broadcast(known), "n_regionkey").select("n_nationkey", "wkt", "code")
+    """The code of each customer's WKT, built from the table's own text."""
+    c = D.read(spark, d, "customer")
+    code = (F.col("c_custkey") % 30000 + 2000).cast("string")
+    shapes = [F.replace(F.replace(F.lit(w), F.lit("{n}"), F.col("c_name")), F.lit("{c}"), code) for w, _ in WKT_SHAPES]
+    made = c.select("c_custkey", F.element_at(F.array(*shapes), (F.col("c_custkey") % 4 + 1).cast("int")).alias("wkt"))
+    return made.select("c_custkey", "wkt", crs.epsg_codes("wkt").alias("code"))
+
+
+UTM = crs.transform("+proj=utm +zone=10 +ellps=GRS80 +units=m +no_defs")
+
+
+def utm_points(spark, d):
+    """The points' grid laid out in a zone of the transverse Mercator projection."""
+    return D.points(spark, d).select("l_orderkey", "l_linenumber", (300000 + F.col("ux") * 100.0).alias("x"), (4600000 + F.col("uy") * 100.0).alias("y"), "z")
+
+
+def utm_to_wgs84(spark, d):
+    p = UTM.with_wgs84(utm_points(spark, d), "x", "y", "z")
+    return p.select("l_orderkey", "l_linenumber", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
+
+
+def utm_sql() -> str:
+    """Zone 10 on GRS80, by the series."""
+    radius, _, back = crs.kruger(crs.GRS80_F)
+    e = (crs.GRS80_F * (2 - crs.GRS80_F)) ** 0.5
+    xi, eta = (f"{f} - " + " - ".join(f"{D.num(b)} * {g}({2 * j} * xi) * {h}({2 * j} * eta)" for j, b in enumerate(back, 1)) for f, g, h in (("xi", "sin", "cosh"), ("eta", "cos", "sinh")))
+    out = [f"u0 as (select *, (4600000 + uy * 100e0) / {D.num(0.9996 * radius)} as xi, (300000 + ux * 100e0 - 500000) / {D.num(0.9996 * radius)} as eta from points)"]
+    out.append(f"u1 as (select *, {xi} as xi1, {eta} as eta1 from u0)")
+    out.append("u2 as (select *, degrees(atan2(sinh(eta1), cos(xi1))) - 123e0 as lon, tan(pi() / 4 - asin(sin(xi1) / cosh(eta1)) / 2) as t0 from u1)")
+    out.append("v0 as (select *, pi() / 2 - 2 * atan(t0) as p0 from u2)")
+    for k in range(crs.STEPS):
+        s = f"({D.num(e)} * sin(p{k}))"
+        out.append(f"v{k + 1} as (select *, pi() / 2 - 2 * atan(t0 * pow((1 - {s}) / (1 + {s}), {D.num(e / 2)})) as p{k + 1} from v{k})")
+    return ", ".join(out) + f" select l_orderkey, l_linenumber, round(lon, 8) as lon, round(degrees(p{crs.STEPS}), 8) as lat from v{crs.STEPS}"
 
 
 def ledger_events(spark, d):
@@ -222,7 +253,9 @@ def ledger_events(spark, d):
 
 
 def admission_ledger(spark, d):
-    return admission.ledger(ledger_events(spark, d), range_bytes=400_000)
+    """Eight processes of two providers each, which share the slots of their origin."""
+    events = ledger_events(spark, d).withColumn("process", F.substring("provider", 2, 2).cast("int") % 8)
+    return admission.ledger(events, range_bytes=400_000, process="process")
 
 
 def admission_totals(spark, d):
@@ -267,7 +300,7 @@ def node_setops(spark, d):
 
 QUERIES = [
     key_text_parent, subtree_filter, node_build, ancestor_closure, synthesized_ancestors, synthesized_count, tile_table, tile_children, duplicate_keys, hierarchy_validation, geometric_error,
-    lcc_to_wgs84, ecef_rounded, bbox_rtc, relative_positions, region_for_key, root_span, extent, rgb8_batch_id, pnts_layout, coalesce_plan, coalesce_stats, coalesce_refused, range_headers,
+    lcc_to_wgs84, utm_to_wgs84, ecef_rounded, bbox_rtc, relative_positions, region_for_key, root_span, extent, rgb8_batch_id, pnts_layout, coalesce_plan, coalesce_stats, coalesce_refused, range_headers,
     content_range_parse, attempt_errors, registry_lookup, crs_lookup, wkt_epsg, admission_ledger, admission_totals, tileset_json, pnts_payload, pruned_nodes, lod_rollup, class_cube, topk_nodes, node_setops, flagship,
 ]
 
@@ -322,7 +355,7 @@ def oracle_sql() -> dict[str, str]:
         "synthesized_count": f"{nodes}{every} select url, count(*) filter (where synthesized) as n_synthesized, count(*) as n_tiles, count(uri) as n_content from every_ group by url",
         "tile_table": f"{nodes}{rows} select url, {key()} as key, {parent} as parent_key, point_count, kind, synthesized, 'copc://tiles/' || case kind when 'points' then 'n/' when 'hierarchy' then 'h/' end || {key()} as uri from all_",
         "tile_children": f"{nodes}{every} select url, {parent} as parent_key, count(*) as n, string_agg({key()}, ',' order by x, y, z) as children from every_ where depth > 0 group by 1, 2",
-        "duplicate_keys": f"{pts}, c as (select url, depth, kx, ky, kz, count(*) over (partition by url, depth, kx, ky, kz) as n from points where l_linenumber <= 2) select url, case when n > 1 then 'malformed-hierarchy' end as error_code, count(*) as n from c group by all",
+        "duplicate_keys": f"{pts}, c as (select url, depth, kx, ky, kz, count(*) over (partition by url, depth, kx, ky, kz) as n from points) select url, case when n > 1 then 'malformed-hierarchy' end as error_code, count(*) as n from c group by all",
         "hierarchy_validation": "with e as (select l_orderkey, l_linenumber, l_partkey % 7 - 1 as c, (l_suppkey % 3) * l_linenumber - case when l_orderkey % 11 = 0 then 9 else 0 end as n from lineitem) select l_orderkey, l_linenumber, case when n < 0 or c < -1 or (c = -1 and n = 0) or (c > 0 and n = 0) or (c = 0 and n > 0) or c > 4 then 'malformed-hierarchy' end as error_code from e",
         "geometric_error": f"{nodes} select url, {key()} as key, round({D.num(ROOT_ERROR)} / pow(2.0, depth), 9) as geometric_error from nodes",
         "lcc_to_wgs84": f"{pts}, {D.lcc_sql('points')} select l_orderkey, l_linenumber, round(lon, 8) as lon, round(lat, 8) as lat, round(z * {D.num(crs.FOOT)}, 6) as height from lonlat",
@@ -336,13 +369,14 @@ def oracle_sql() -> dict[str, str]:
         "pnts_layout": f"{nodes}, b as (select *, point_count * 15 + point_count * case when point_count <= 256 then 1 when point_count <= 65536 then 2 else 4 end as body from nodes) select url, {key()} as key, case when point_count <= 256 then 'UNSIGNED_BYTE' when point_count <= 65536 then 'UNSIGNED_SHORT' else 'UNSIGNED_INT' end as id_type, body + (8 - (body + 28) % 8) % 8 as body, point_count * 13 as batch from b",
         "coalesce_plan": f"{fold} select * from planned",
         "coalesce_stats": f"{fold}, g as (select file, span_offset, any_value(span_length) as span, any_value(wanted) as wanted, count(*) as n from planned group by all) select file, {group('sum(n)')} as n_ranges, count(*) as n_reads, {group('sum(wanted)')} as bytes_wanted, {group('sum(span)')} as bytes_read, {group('sum(span - wanted)')} as bytes_wasted, {group('sum(n - 1)')} as requests_saved from g group by file",
-        "coalesce_refused": f"with {D.REQUESTS_SQL}, r as (select file, idx, \"offset\", length + case when idx % 17 = 0 then 400000 else 0 end as length from requests), l as (select *, lag(\"offset\" + length) over (partition by file order by \"offset\", idx) as last from r) select file, case when \"offset\" < last then 'invalid-byte-range' end as error_code, count(*) as n from l group by all",
+        "coalesce_refused": f"with {D.REQUESTS_SQL}, r as (select file, idx, \"offset\", length + case when idx % 17 = 0 then 400000 else 0 end as length from requests), l as (select *, max(\"offset\" + length) over (partition by file order by \"offset\", idx rows between unbounded preceding and 1 preceding) as last from r) select file, case when \"offset\" < last then 'invalid-byte-range' end as error_code, count(*) as n from l group by all",
         "range_headers": f"with {D.REQUESTS_SQL} select file, idx, 'bytes=' || \"offset\" || '-' || (\"offset\" + length - 1) as header, cast(8000 + ceil(length * 100 / 1048576.0) * 2000 as bigint) as deadline_ms from requests",
         "content_range_parse": f"{answers} select file, idx, case when ok then a end as start, case when ok then b end as last, case when ok then t end as total from parsed",
         "attempt_errors": f"{answers}, c as (select *, case when status = 200 then 'range-unsupported' when status >= 400 then 'range-request-failed' when k = 1 then 'content-range-unreadable' when not ok or a <> \"offset\" or body <> length then 'content-range-mismatch' end as error_code from parsed) select error_code, coalesce(error_code = 'range-request-failed' and status >= 500, false) as retry, count(*) as n, {group('sum(length)')} as bytes from c group by all",
-        "registry_lookup": f"{nodes}, asked as (select o_orderkey, case when o_orderkey % 5 = 0 then 'https://t/n/' else 'copc://t/n/' end || concat_ws('-', 2, o_orderkey % 4, o_custkey % 4, (o_orderkey + o_custkey) % 4) as uri from orders) select o_orderkey, a.uri, key, case when key is not null then 'found' when a.uri like 'copc:%' then 'unknown-tile-request' else 'pass' end as verdict from asked a left join (select 'copc://t/n/' || {key()} as uri, {key()} as key from nodes where url = 'file1') t on a.uri = t.uri",
+        "registry_lookup": f"{nodes}, asked as (select o_orderkey, case when o_orderkey % 5 = 0 then 'https://t/file' else 'copc://t/file' end || (o_custkey % 4) || '/n/' || concat_ws('-', 2, o_orderkey % 4, o_custkey % 4, (o_orderkey + o_custkey) % 4) as uri from orders) select o_orderkey, a.uri, key, case when key is not null then 'found' when a.uri like 'copc:%' then 'unknown-tile-request' else 'pass' end as verdict from asked a left join (select 'copc://t/' || url || '/n/' || {key()} as uri, {key()} as key from nodes) t on a.uri = t.uri",
         "crs_lookup": f"select n_nationkey, code, definition, case when definition is null then 'crs-not-registered' end as error_code from (select n_nationkey, case n_nationkey % 3 when 0 then 2992 when 1 then 4326 else 9999 end as code from nation) n left join (values (2992, '{D.DEFINITION}'), (4326, '{crs.WGS84_DEFINITION}')) v(c, definition) on c = code",
-        "wkt_epsg": "select n_nationkey, wkt, code from nation join (values " + ", ".join(f"({i}, '{w}', {c})" for i, (w, c) in enumerate(zip(WKTS, ("2992", "4326", "cast(null as int)", "4326"), strict=True))) + ") v(i, wkt, code) on i = n_nationkey % 4",
+        "wkt_epsg": "with made as (select c_custkey, case c_custkey % 4 " + " ".join(f"when {i} then replace(replace('{w}', '{{n}}', c_name), '{{c}}', cast(c_custkey % 30000 + 2000 as varchar))" for i, (w, _) in enumerate(WKT_SHAPES)) + " end as wkt from customer) select c_custkey, wkt, case when c_custkey % 4 in (" + ", ".join(str(i) for i, (_, known) in enumerate(WKT_SHAPES) if known) + ") then cast(c_custkey % 30000 + 2000 as int) end as code from made",
+        "utm_to_wgs84": f"{pts}, {utm_sql()}",
         "pruned_nodes": f"{nodes} select * from nodes where depth <= 3 and " + " and ".join(f"{lo[i]} <= {(D.CUBE[i] + D.CUBE[i + 3]) / 2 - 1!r}" for i in range(3)),
         "lod_rollup": f"{pts} select url, depth, count(*) as n, {group('sum(intensity)')} as intensity from points group by rollup (url, depth)",
         "class_cube": f"{pts} select classification, return_number, count(*) as n, count(distinct url) as n_files from points group by cube (classification, return_number)",
