@@ -240,10 +240,10 @@ def utm_sql() -> str:
     out.append(f"u1 as (select *, {xi} as xi1, {eta} as eta1 from u0)")
     out.append("u2 as (select *, degrees(atan2(sinh(eta1), cos(xi1))) - 123e0 as lon, tan(pi() / 4 - asin(sin(xi1) / cosh(eta1)) / 2) as t0 from u1)")
     out.append("v0 as (select *, pi() / 2 - 2 * atan(t0) as p0 from u2)")
-    for k in range(crs.STEPS):
+    for k in range(8):
         s = f"({D.num(e)} * sin(p{k}))"
         out.append(f"v{k + 1} as (select *, pi() / 2 - 2 * atan(t0 * pow((1 - {s}) / (1 + {s}), {D.num(e / 2)})) as p{k + 1} from v{k})")
-    return ", ".join(out) + f" select l_orderkey, l_linenumber, round(lon, 8) as lon, round(degrees(p{crs.STEPS}), 8) as lat from v{crs.STEPS}"
+    return ", ".join(out) + f" select l_orderkey, l_linenumber, round(lon, 8) as lon, round(degrees(p8), 8) as lat from v8"
 
 
 def ledger_events(spark, d):
