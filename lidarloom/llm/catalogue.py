@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import bpe, langid, multiindex, packing, pii, rulefit, rules, simhash, suffixes, windows
 
 
+def pipeline(spark, sf_dir):
+    """The stages of corpus_pipeline.py, which lies beside the package."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
         "op1_pii": pii.op1_pii,
@@ -19,7 +24,7 @@ def queries():
         "op8_windows": windows.op8_windows,
         "op9_rules": rules.op9_rules,
         "op10_multiindex": multiindex.op10_multiindex,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
     }
 
 

@@ -10,7 +10,6 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: The blanks that part words in every contract: space and U+0009 to U+000D.
@@ -34,13 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and goes on from there, whatever executors are lost."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lidarloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names; a folder of this machine only if there is no other machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return folder or tempfile.mkdtemp(prefix="lidarloom-")
 
 
@@ -71,10 +72,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32 of the id as text, mod by: the fold of a document. A null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(by))
@@ -97,7 +94,3 @@ def smallest_hashes(df: DataFrame, key: Column, most: int) -> DataFrame:
     if len(found) < most:
         return df
     return df.where(key <= F.lit(found[-1])).limit(2 * most)
-
-
-def as_struct(fields: str) -> T.StructType:
-    return T.StructType.fromDDL(fields)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, let, table, words_of
+from .common import cut, cut_table, free_name, let, table, words_of
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_upper", "n_ends", "n_distinct", "n_marks")
@@ -180,16 +180,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The documents that the rules keep, with their own columns. Two passes over the text, no shuffle of it."""
+    """The documents that the rules keep, with their own columns. An empty table gives no rows.
+
+    One pass over the text: documents go to the checkpoint folder with their votes, and the verdict is a filter on the way back.
+    """
     tag = "stat_"
     while any(c.lower().startswith(tag) for c in docs.columns):
         tag += "_"
-    seen = statistics(docs.select(F.col(f"`{text_col}`").alias("text")), "text").select(base_failed().alias("base_failed"), pattern().alias("votes"))
-    counts = {r["votes"]: r["count"] for r in seen.groupBy("base_failed", "votes").count().collect() if not r["base_failed"]}
-    _, good = judge(estimate(counts, len(votes())), list(counts), pattern(tag), least)
     own = [F.col(f"`{c}`") for c in docs.columns]
-    # A row number between statistics and filter keeps Catalyst from evaluating the statistics in the filter and then again.
-    return statistics(docs, text_col, tag).withColumn(f"{tag}row", F.monotonically_increasing_id()).where(~base_failed(tag) & good).select(*own)
+    failed, number = f"{tag}failed", f"{tag}votes"
+    seen = cut_table(statistics(docs, text_col, tag).select(*own, base_failed(tag).alias(failed), pattern(tag).alias(number)))
+    counts = {r[0]: r[1] for r in seen.where(~F.col(failed)).groupBy(number).count().collect()}
+    _, good = judge(estimate(counts, len(votes())), list(counts), F.col(number), least)
+    return seen.where(~F.col(failed) & good).select(*own)
 
 
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -522,3 +522,62 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and {"doc_id", "sequence_id", "offset", "length"} <= set(rows[0].asDict())
     assert {"pipeline"} | {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in catalogue.queries()}
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    """run() on planted documents against the five stages in plain Python."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    g = random.Random(31)
+    voc = ["".join(g.choice("abcdefghijklmnoprstuvw") for _ in range(g.randint(3, 8))) for _ in range(4000)]
+
+    def prose(n):
+        w = [g.choice(voc) for _ in range(n)]
+        for i in range(0, n, 10):
+            w[i] = w[i].capitalize()
+            w[min(i + 9, n - 1)] += "."
+        return w
+
+    shared, rows = prose(70), []
+    for i in range(40):
+        w = prose(g.randint(100, 300))
+        if i in (4, 11, 30):
+            w = w[:50] + shared + w[50:]
+        if i % 6 == 0:
+            w[20:20] = ["Mail", f"person{i}@office{i}.example.org", "today."]
+        rows.append((i, " ".join(w)))
+    near = rows[7][1].split()
+    near[33] = "otherword"
+    rows += [(50, rows[3][1]), (51, rows[3][1]), (52, " ".join(near)), (53, "too short to keep."), (54, None), (55, ""), (56, " ".join(["again and again"] * 60)), (None, " ".join(prose(120)))]
+    folder = str(tmp_path / "in")
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+
+    def passes(t):
+        w = (t or "").split()
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        n = Counter(grams)
+        repeated = {j for i, x in enumerate(grams) if n[x] > 1 for j in (i, i + 1, i + 2)}
+        return len(w) >= 50 and 100 * len(repeated) <= 50 * len(w)
+
+    kept = [(i, t) for i, t in rows if passes(t)]
+    sets = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in kept}
+    order = lambda i: (i is None, i or 0)
+    gone = {b for a in sets for b in sets if order(a) < order(b) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    kept = [(i, t) for i, t in kept if i not in gone]
+    assert {50, 51, 52} == gone and {i for i, _ in kept} == {*range(40), None}
+    whole = " ".join(shared)
+    first = min(i for i, t in kept if i is not None and whole in t)
+    kept = [(i, t if i == first else t.replace(whole + " ", "")) for i, t in kept]
+    want = {}
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    for i, t in kept:
+        for s, k, e in reversed(slow_spans(t)):
+            t = t[:s] + f"[{pii.KINDS[k].upper()}]" + t[e:]
+        assert "@" not in t
+        want[i] = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
+    found = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in found} == set(want)
+    for r in found:
+        assert 4 * r.doc_tokens == len(want[r.doc_id]) and zlib.crc32(want[r.doc_id][4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32
+    assert sum(r.length for r in found) * 4 == sum(map(len, want.values()))
