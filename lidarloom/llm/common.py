@@ -45,17 +45,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or tempfile.mkdtemp(prefix="lidarloom-")
 
 
+#: Tables of cut_table() that this session still has.
+_tables: list[str] = []
+
+
 def cut_table(df: DataFrame) -> DataFrame:
-    """As cut(), for large tables: written as Parquet into the shared folder, which is smaller, and removed when the session ends."""
+    """As cut(), for large tables: written as Parquet into the shared folder, which is smaller, and removed by drop_tables() or when the session ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/lidarloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _tables.append(path)
     return spark.read.parquet(path)
 
 
+def drop_tables(spark: SparkSession, since: int = 0) -> None:
+    """Removes the tables cut after the first since ones. For a caller that has written what it wanted from them."""
+    for path in _tables[since:]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del _tables[since:]
+    release(spark)
+
+
+def n_tables() -> int:
+    return len(_tables)
+
+
 def release(spark: SparkSession) -> None:
     """Asks Spark to drop what nothing refers to any more, so that shuffle files of finished steps don't pile up."""
     gc.collect()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _minima(edges: DataFrame) -> DataFrame:
@@ -35,4 +35,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = _minima(large)
         small = large.join(least, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         e = cut(_distinct(small.unionByName(least.select("a", F.col("m").alias("b")))))
+        del both, large, least, small
+        release(e.sparkSession)  # shuffles and checkpoints of the round are of no more use
     raise RuntimeError("components did not settle")
