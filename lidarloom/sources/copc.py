@@ -9,11 +9,13 @@ from __future__ import annotations
 import glob
 import os
 from collections.abc import Callable, Iterator
+from urllib.parse import urlsplit
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, LessThan, LessThanOrEqual
 
 from ..errors import error
 from . import layout
+from .reader import Reader, named
 
 SCHEMAS = {
     "files": "url string, header_length int, point_data_offset long, vlr_count int, evlr_count int, point_format int, record_length int, scale array<double>, offset array<double>, min array<double>, max array<double>, point_count long, cube array<double>, spacing double, root_offset long, root_length long, wkt string, total_bytes long",
@@ -22,36 +24,25 @@ SCHEMAS = {
     "points": "url string, key string, ordinal long, x double, y double, z double, red int, green int, blue int, classification int, intensity int, gps_time double, return_number int, number_of_returns int",
 }
 MAX_GAP, MAX_WASTE = 256 * 1024, 0.02
-#: Chunk decoders by name; others may be added.
+#: Chunk decoders by name; the option decoder also takes module:attribute, which workers can import.
 DECODERS: dict[str, Callable] = {"plain": layout.decode_plain}
 
 
-def read_range(url: str, offset: int, length: int) -> bytes:
-    """Exactly the bytes asked for, from a local or mounted path."""
-    if offset < 0 or length < 1:
-        raise error("invalid-byte-range", f"{url}: {offset}+{length}")
-    with open(url, "rb") as f:
-        f.seek(offset)
-        out = f.read(length)
-    if len(out) < length:
-        raise error("content-range-mismatch", f"{url}: {len(out)} of {length} bytes", expected=length, received=len(out))
-    return out
-
-
-def open_file(url: str) -> dict:
-    """Header, WKT and size; a format that can't be shown is refused before more is read."""
-    h = layout.check_file(layout.parse_header(url, read_range(url, 0, layout.FIRST_READ)))
+def open_file(url: str, reader: Reader | None = None) -> dict:
+    """Header, WKT and size (null if the server keeps it to itself); a format that can't be shown is refused before more is read."""
+    reader = reader or Reader(url)
+    h = layout.check_file(layout.parse_header(url, reader.read(0, layout.FIRST_READ)))
     span = h["point_data_offset"] - layout.HEADER
-    h["wkt"] = layout.parse_wkt(url, read_range(url, layout.HEADER, span), h["vlr_count"], h["evlr_count"]) if span > 0 else None
-    return h | {"total_bytes": os.path.getsize(url)}
+    h["wkt"] = layout.parse_wkt(url, reader.read(layout.HEADER, span), h["vlr_count"], h["evlr_count"]) if span > 0 else None
+    return h | {"total_bytes": reader.total_bytes}
 
 
-def walk(url: str, h: dict, max_depth: int) -> Iterator[tuple[str, object, object]]:
+def walk(reader: Reader, h: dict, max_depth: int) -> Iterator[tuple[str, object, object]]:
     """(page key, nodes, sub-pages) of each hierarchy page, sub-pages deeper than max_depth left unread."""
     todo = [("0-0-0-0", h["root_offset"], h["root_length"])]
     while todo:
         key, offset, length = todo.pop()
-        nodes, pages = layout.parse_page(url, read_range(url, offset, length), h["point_count"])
+        nodes, pages = layout.parse_page(reader.url, reader.read(offset, length), h["point_count"])
         yield key, nodes, pages
         todo += [("-".join(str(int(p[c])) for c in ("depth", "x", "y", "z")), int(p["offset"]), int(p["length"])) for p in pages if p["depth"] <= max_depth]
 
@@ -86,8 +77,10 @@ class CopcReader(DataSourceReader):
         self.max_depth = int(options.get("maxDepth", "31"))
         self.decoder = options.get("decoder", "plain")
         path = options.get("path", "")
-        self.urls = sorted(glob.glob(os.path.join(path, "*") if os.path.isdir(path) else path))
-        if not self.urls:
+        self.fetch = options.get("fetch", "http")
+        remote = path.lower().startswith(("http://", "https://"))
+        self.urls = path.split() if remote else sorted(glob.glob(os.path.join(path, "*") if os.path.isdir(path) else path))
+        if not self.urls or remote and not all(urlsplit(u).netloc for u in self.urls):
             raise error("invalid-source-url", f"nothing at {path!r}")
 
     def partitions(self) -> list[Part]:
@@ -95,36 +88,60 @@ class CopcReader(DataSourceReader):
             return [Part(u) for u in self.urls]
         out = []
         for u in self.urls:
-            h = open_file(u)
-            chunks = [(int(n["offset"]), int(n["length"]), tuple(int(n[c]) for c in ("depth", "x", "y", "z", "count"))) for _, nodes, _ in walk(u, h, self.max_depth) for n in nodes if n["count"] > 0 and n["depth"] <= self.max_depth]
+            reader = Reader(u, self.fetch)
+            h = open_file(u, reader)
+            chunks = [(int(n["offset"]), int(n["length"]), tuple(int(n[c]) for c in ("depth", "x", "y", "z", "count"))) for _, nodes, _ in walk(reader, h, self.max_depth) for n in nodes if n["count"] > 0 and n["depth"] <= self.max_depth]
             out += [Part(u, g) for g in groups(chunks)]
         return out or [Part(self.urls[0], [])]
 
     def read(self, part: Part) -> Iterator[tuple]:
         names = [x.split()[0] for x in SCHEMAS[self.table].split(", ")]
-        h = open_file(part.url)
+        reader = Reader(part.url, self.fetch)
+        h = open_file(part.url, reader)
         if self.table == "files":
             yield tuple(h[n] for n in names)
         elif self.table == "points":
-            yield from self.points(part, h, names)
+            yield from self.points(part, h, names, reader)
         else:
-            for key, nodes, pages in walk(part.url, h, self.max_depth):
+            for key, nodes, pages in walk(reader, h, self.max_depth):
                 for e in nodes if self.table == "hierarchy" else pages:
                     row = (part.url, key, *[int(e[c]) for c in ("depth", "x", "y", "z", "offset", "length")])
                     yield (*row, int(e["count"])) if self.table == "hierarchy" else row
 
-    def points(self, part: Part, h: dict, names: list[str]) -> Iterator[tuple]:
+    def points(self, part: Part, h: dict, names: list[str], reader: Reader) -> Iterator[tuple]:
         if not part.chunks:
             return
         start = part.chunks[0][0]
-        raw = read_range(part.url, start, part.chunks[-1][0] + part.chunks[-1][1] - start)
+        raw = reader.read(start, part.chunks[-1][0] + part.chunks[-1][1] - start, sum(c[1] for c in part.chunks))
+        decode = named(self.decoder, DECODERS)
         for offset, length, (*key, count) in part.chunks:
-            p = DECODERS[self.decoder](raw[offset - start : offset - start + length], h, count)
+            p = decode(raw[offset - start : offset - start + length], h, count)
             text = "-".join(map(str, key))
             for i, row in enumerate(zip(*[p[n].tolist() for n in names[3:]], strict=True)):
                 yield (part.url, text, i, *row)
 
 
+class PruningReader(CopcReader):
+    """Takes filters too (option pushdown, with spark.sql.python.filterPushdown.enabled): other files aren't opened, deeper pages aren't read.
+
+    Spark evaluates every filter again, so that pruning may keep more than is asked for.
+    """
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("url",):
+                self.urls = [u for u in self.urls if u == f.value]
+            elif isinstance(f, EqualTo | LessThan | LessThanOrEqual) and f.attribute == ("depth",):
+                self.max_depth = min(self.max_depth, int(f.value) - isinstance(f, LessThan))
+            yield f
+
+    def partitions(self) -> list[Part]:
+        return super().partitions() if self.urls else [Part("", [])]
+
+    def read(self, part: Part) -> Iterator[tuple]:
+        return super().read(part) if part.url else iter(())
+
+
 class CopcSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -134,4 +151,5 @@ class CopcSource(DataSource):
         return SCHEMAS[self.options.get("table", "files")]
 
     def reader(self, schema) -> CopcReader:
-        return CopcReader(dict(self.options))
+        options = dict(self.options)
+        return (PruningReader if options.get("pushdown", "").lower() == "true" else CopcReader)(options)
