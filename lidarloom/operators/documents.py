@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import error
 
@@ -194,3 +195,11 @@ def _tiles(n_keys: int):
         return pa.RecordBatch.from_arrays([*keys, *made_], names=[*rows.schema.names[:n_keys], "point_count", "rtc", "payload"])
 
     return run
+
+
+def registry_differences(docs: DataFrame, registry: DataFrame, keys: list[str]) -> DataFrame:
+    """For each page the URIs in its document, those in the registry (keys, uri), and how many only one of both has."""
+    named = docs.select(*keys, F.explode(F.regexp_extract_all("document", F.lit('"uri":"([^"]*)"'), F.lit(1))).alias("uri"), F.lit(1).alias("here"))
+    known = registry.where("uri is not null").select(*keys, "uri", F.lit(1).alias("there"))
+    both = named.join(known, [*keys, "uri"], "full")
+    return both.groupBy(*keys).agg(F.count("here").alias("n_document"), F.count("there").alias("n_registry"), F.count_if(F.col("here").isNull() | F.col("there").isNull()).alias("n_unmatched"))

@@ -80,6 +80,19 @@ def tiles(nodes: DataFrame, pages: DataFrame | None, keys: list[str], token_base
     return every.select(*keys, *KEY, key_text().alias("key"), parent.alias("parent_key"), "point_count", "kind", "synthesized", F.concat(token_base if isinstance(token_base, Column) else F.lit(token_base), letter, key_text()).alias("uri"))
 
 
+def point_totals(nodes: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """For each file (keys, point_count of its header) the points that its nodes hold, and a code where these are more."""
+    held = nodes.groupBy(*keys).agg(F.sum("point_count").alias("held_points"))
+    found = files.select(*keys, "point_count").join(held, keys, "left").withColumn("held_points", F.coalesce("held_points", F.lit(0).cast("long")))
+    return found.withColumn("error_code", F.when(F.col("held_points") > F.col("point_count"), F.lit("malformed-hierarchy")))
+
+
+def page_contents(pages: DataFrame, contents: DataFrame, keys: list[str]) -> DataFrame:
+    """Pointers to sub-pages with what their pages hold at the same key (contents: keys, key parts, point_count); a pointer without its entry has a code."""
+    held = contents.select(*keys, *KEY, "point_count")
+    return pages.select(*keys, *KEY).join(held, [*keys, *KEY], "left").withColumn("error_code", F.when(F.col("point_count").isNull(), F.lit("malformed-hierarchy")))
+
+
 def cell_bounds(cube: list[float]) -> dict[str, Column]:
     """Bounds of a key's cell in the cube (min x, y, z, max x, y, z)."""
     out = {}

@@ -269,6 +269,22 @@ def tileset_json(spark, d):
     return documents.tileset_documents(flat, ["url"])
 
 
+def document_registry(spark, d):
+    return documents.registry_differences(tileset_json(spark, d), octree.tiles(D.nodes(spark, d), None, K), K)
+
+
+def point_totals(spark, d):
+    """Headers as large as their files' points; that of file0 states one too few."""
+    header = F.count(F.lit(1)) - F.when(F.col("url") == "file0", F.count_if(~F.expr(D.KEPT)) + 1).otherwise(0)
+    return octree.point_totals(D.nodes(spark, d), D.points(spark, d).groupBy("url").agg(header.alias("point_count")), K)
+
+
+def page_contents(spark, d):
+    """The pages hold their cells' points; those of cells in an odd column have no entry."""
+    held = D.points(spark, d).where(f"not ({D.KEPT}) and kx % 2 = 0").groupBy("url", "depth", *[F.col(f"k{c}").alias(c) for c in "xyz"]).agg(F.count(F.lit(1)).alias("point_count"))
+    return octree.page_contents(pages_of(spark, d), held, K)
+
+
 def pnts_payload(spark, d):
     p = ecef_points(spark, d).withColumns({"ordinal": F.col("l_orderkey") * 8 + F.col("l_linenumber"), "gps_time": F.col("l_orderkey").cast("double"), "number_of_returns": F.lit(5)})
     return documents.point_tiles(p, PK).select(*PK, "point_count", F.length("payload").alias("n_bytes"), F.sha2("payload", 256).alias("sha256"))
@@ -301,7 +317,7 @@ def node_setops(spark, d):
 QUERIES = [
     key_text_parent, subtree_filter, node_build, ancestor_closure, synthesized_ancestors, synthesized_count, tile_table, tile_children, duplicate_keys, hierarchy_validation, geometric_error,
     lcc_to_wgs84, utm_to_wgs84, ecef_rounded, bbox_rtc, relative_positions, region_for_key, root_span, extent, rgb8_batch_id, pnts_layout, coalesce_plan, coalesce_stats, coalesce_refused, range_headers,
-    content_range_parse, attempt_errors, registry_lookup, crs_lookup, wkt_epsg, admission_ledger, admission_totals, tileset_json, pnts_payload, pruned_nodes, lod_rollup, class_cube, topk_nodes, node_setops, flagship,
+    content_range_parse, attempt_errors, registry_lookup, crs_lookup, wkt_epsg, admission_ledger, admission_totals, tileset_json, document_registry, point_totals, page_contents, pnts_payload, pruned_nodes, lod_rollup, class_cube, topk_nodes, node_setops, flagship,
 ]
 
 
@@ -355,6 +371,9 @@ def oracle_sql() -> dict[str, str]:
         "synthesized_count": f"{nodes}{every} select url, count(*) filter (where synthesized) as n_synthesized, count(*) as n_tiles, count(uri) as n_content from every_ group by url",
         "tile_table": f"{nodes}{rows} select url, {key()} as key, {parent} as parent_key, point_count, kind, synthesized, 'copc://tiles/' || case kind when 'points' then 'n/' when 'hierarchy' then 'h/' end || {key()} as uri from all_",
         "tile_children": f"{nodes}{every} select url, {parent} as parent_key, count(*) as n, string_agg({key()}, ',' order by x, y, z) as children from every_ where depth > 0 group by 1, 2",
+        "document_registry": f"{nodes}{every} select url, count(uri) as n_document, count(uri) as n_registry, 0 as n_unmatched from every_ group by 1",
+        "point_totals": f"{pts}, t as (select url, count(*) - case when url = 'file0' then count(*) filter (not ({D.KEPT})) + 1 else 0 end as point_count, count(*) filter ({D.KEPT}) as held_points from points group by url) select *, case when held_points > point_count then 'malformed-hierarchy' end as error_code from t",
+        "page_contents": f"{pts}, c as (select url, depth, kx as x, ky as y, kz as z, count(*) as n from points where not ({D.KEPT}) and depth = 4 group by all) select url, depth, x, y, z, case when x % 2 = 0 then n end as point_count, case when x % 2 <> 0 then 'malformed-hierarchy' end as error_code from c",
         "duplicate_keys": f"{pts}, c as (select url, depth, kx, ky, kz, count(*) over (partition by url, depth, kx, ky, kz) as n from points) select url, case when n > 1 then 'malformed-hierarchy' end as error_code, count(*) as n from c group by all",
         "hierarchy_validation": "with e as (select l_orderkey, l_linenumber, l_partkey % 7 - 1 as c, (l_suppkey % 3) * l_linenumber - case when l_orderkey % 11 = 0 then 9 else 0 end as n from lineitem) select l_orderkey, l_linenumber, case when n < 0 or c < -1 or (c = -1 and n = 0) or (c > 0 and n = 0) or (c = 0 and n > 0) or c > 4 then 'malformed-hierarchy' end as error_code from e",
         "geometric_error": f"{nodes} select url, {key()} as key, round({D.num(ROOT_ERROR)} / pow(2.0, depth), 9) as geometric_error from nodes",

@@ -285,3 +285,11 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r.seq: r.verdict for r in spark.table("ledger_out").collect()}
     want = {r.seq: r.verdict for r in admission.ledger(frame(spark, rows, schema), 100, 2).collect()}
     assert got == want
+
+
+def test_registry_differences(spark):
+    docs = frame(spark, [("f", '{"root":{"content":{"uri":"copc://t/n/0-0-0-0"},"children":[{"content":{"uri":"copc://t/n/1-0-0-0"}}]}}'), ("g", "{}")], "url string, document string")
+    known = frame(spark, [("f", "copc://t/n/0-0-0-0"), ("f", "copc://t/n/1-1-0-0"), ("f", None)], "url string, uri string")
+    assert [tuple(r) for r in documents.registry_differences(docs, known, ["url"]).collect()] == [("f", 2, 2, 2)]
+    held = octree.point_totals(frame(spark, [("f", 5), ("f", 6)], "url string, point_count long"), frame(spark, [("f", 10), ("g", 0)], "url string, point_count long"), ["url"])
+    assert {tuple(r) for r in held.collect()} == {("f", 10, 11, "malformed-hierarchy"), ("g", 0, 0, None)}
