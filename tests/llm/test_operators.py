@@ -389,6 +389,41 @@ def test_windows_template(spark):
     assert sum(c in got for c in copies) >= 11
 
 
+def test_windows_near_copies_amid_variants(spark):
+    """Values of many windows: near copies that lie between variants unlike both are joined, in one block and in several; copies take one pair each."""
+    g = random.Random(33)
+    word = lambda: "".join(g.choice("abcdefghij") for _ in range(8))
+    rows, near = [], []
+    for f in range(12):
+        p = [word() for _ in range(80)]
+        at = sorted(g.sample(range(5, 200), 2))
+        own = None
+        for i in range(200):
+            q = list(p)
+            for k in g.sample(range(80), 8):
+                q[k] = word()
+            if i in at:
+                q = own = list(own or q)
+                q[2 if i == at[0] else 77] = word()
+            rows.append((1000 * f + i, " ".join([word() for _ in range(20)] + q + [word() for _ in range(20)])))
+        near.append((1000 * f + at[1], 1000 * f + at[0]))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for block_rows in (2048, 64):
+        got = {(r.doc, r.source_doc) for r in windows.find(frame, block_rows=block_rows).collect()}
+        assert sum(c in got for c in near) >= 11
+    # One value's windows against all pairs: classes, and a source for each document that has one.
+    p = [g.randrange(1 << 32) for _ in range(90)]
+    docs = []
+    for i in range(80):
+        q = [g.randrange(1 << 32) if g.random() < (0, 0.06, 0.12)[i % 3] else x for x in p]
+        docs.append((i, i, 0, np.array([g.randrange(1 << 32) for _ in range(10)] + q, np.uint32)))
+    links = [(a[0], b[0]) for a in docs for b in docs if b[0] < a[0] and windows.passages(a[3], b[3], 46, 0.8)]
+    made = [(x[0], x[4]) for x in windows.met_in_block(docs, 46, 0.8)]
+    assert len(links) > 300 > 2 * len(set(made)) and set(made) <= set(links)
+    assert {a for a, _ in made} == {a for a, _ in links}
+    assert components_of(range(80), made) == components_of(range(80), links)
+
+
 def test_windows_odd_ids(spark):
     """Null ids and repeated ids with other texts: spans are cut from the text that has them."""
     g = random.Random(8)
