@@ -258,6 +258,25 @@ def test_jaccard(spark, odd, empty):
     assert jaccard.keep_one(empty).count() == 0
 
 
+def test_near_duplicates_by_simhash(spark):
+    """SimHash alone brings the close copies; sets without a shingle meet nothing."""
+    from lidarloom.llm import jaccard
+
+    g = random.Random(44)
+    rows = []
+    for _ in range(30):
+        w = ["".join(g.choice("abcdefgh") for _ in range(7)) for _ in range(400)]
+        rows += [" ".join(w), " ".join([*w[:-1], "other"])]
+    texts = [*rows, "", None]
+    prints = [(jaccard.set_name(jaccard.shingle_set(t, 5)), [1] if t else [], simhash.signed(simhash.fingerprint(simhash.shingle_hashes(t, 5)))) for t in texts]
+    firsts = spark.createDataFrame(prints, "fp long, bands array<long>, sim long").dropDuplicates(["fp"])
+    got = {(r.a, r.b) for r in jaccard.sim_pairs(firsts).collect()}
+    close = [(a, b) for a, b in zip(prints[0:60:2], prints[1:60:2], strict=True) if ((a[2] ^ b[2]) & (2**64 - 1)).bit_count() <= jaccard.RADIUS]
+    assert len(close) > 20 and got == {(max(a[0], b[0]), min(a[0], b[0])) for a, b in close}
+    kept = jaccard.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(0, 60, 2), 60]
+
+
 def test_keep_one_ids(spark):
     """Null and repeated ids: no document without a duplicate is lost, and of copies one stays."""
     from lidarloom.llm import jaccard
