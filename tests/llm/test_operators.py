@@ -443,6 +443,73 @@ def test_windows_near_copies_amid_variants(spark):
     assert components_of(range(80), made) == components_of(range(80), links)
 
 
+def variants(g, n, length, edits):
+    p = [g.randrange(1 << 32) for _ in range(length)]
+    rows = []
+    for i in range(n):
+        q = list(p)
+        for _ in range(edits):
+            k = g.randrange(length - 5)
+            q[k : k + 5] = [g.randrange(1 << 32) for _ in range(5)]
+        rows.append((i, i, 0, np.array(q, np.uint32)))
+    return rows
+
+
+def test_windows_blocks_by_tokens(spark, monkeypatch):
+    """Blocks are bounded by tokens, not by windows alone: 40 long texts under one value come in several, and still join as in one."""
+    g = random.Random(5)
+    word = lambda: "".join(g.choice("abcdefghij") for _ in range(8))
+    p = [word() for _ in range(400)]
+    rows = [(i, " ".join(p + [word() for _ in range(8)])) for i in range(120)]
+    given = windows.keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    met = given.selectExpr("1L AS key", "0 AS hash", "doc", "twin", "0 AS left", "399 AS right")
+    whole = {(r.doc, r.s_doc) for r in windows.frequent(given, met, 46, 0.8, 4096).collect()}
+
+    def sizes(least, similarity):
+        def run(batches):
+            held = {}
+            for b in batches:
+                for key, i, j, raw in zip(*(b.column(n).to_pylist() for n in ("key", "i", "j", "tokens")), strict=True):
+                    held[key, i, j] = held.get((key, i, j), 0) + len(raw) // 4
+            import pyarrow as pa
+
+            names = [x.split()[0] for x in windows.PAIRS.split(", ")]
+            n = len(held)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32() if c in ("hash", "left", "right", "s_left", "s_right") else pa.int64()) if c != "doc" else pa.array(list(held.values()), pa.int64()) for c in names], names=names)
+
+        return run
+
+    monkeypatch.setattr(windows, "BLOCK_TOKENS", 8000, raising=False)
+    split = {(r.doc, r.s_doc) for r in windows.frequent(given, met, 46, 0.8, 4096).collect()}
+    assert components_of(range(120), split) == components_of(range(120), whole) and len(set(components_of(range(120), split).values())) == 1
+    monkeypatch.setattr(windows, "_blocks", sizes)
+    most = [r.doc for r in windows.frequent(given, met, 46, 0.8, 4096).collect()]
+    assert len(most) > 6 and max(most) < 4 * 8000
+
+
+def test_windows_few_comparisons(monkeypatch):
+    """Variants of one text that share much but mostly fail: the bounds leave few exact comparisons, and no document loses its class or its source."""
+    g, calls, exact = random.Random(6), [0], windows.passages
+
+    def counted(*a):
+        calls[0] += 1
+        return exact(*a)
+
+    docs = variants(g, 160, 146, 5)
+    links = [(a[0], b[0]) for a in docs for b in docs if b[0] < a[0] and exact(a[3], b[3], 46, 0.8)]
+    monkeypatch.setattr(windows, "passages", counted)
+    made = [(x[0], x[4]) for x in windows.met_in_block(docs, 46, 0.8)]
+    assert set(made) <= set(links) and {a for a, _ in made} == {a for a, _ in links}
+    assert components_of(range(160), made) == components_of(range(160), links)
+    assert calls[0] < 4 * len(docs), calls
+    # A common line of 30 tokens brings nothing together.
+    line, calls[0] = [g.randrange(1 << 32) for _ in range(30)], 0
+    rows = [(i, i, 0, np.array([*line, *(g.randrange(1 << 32) for _ in range(90))], np.uint32)) for i in range(3000)]
+    own = docs[0][3]
+    rows += [(5000 + i, i, 0, own) for i in range(2)]
+    assert [(x[0], x[4]) for x in windows.met_in_block(rows, 46, 0.8)] == [(5001, 5000)] and calls[0] <= 1
+
+
 def test_windows_odd_ids(spark):
     """Null ids and repeated ids with other texts: spans are cut from the text that has them."""
     g = random.Random(8)
