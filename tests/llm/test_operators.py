@@ -510,6 +510,14 @@ def test_windows_few_comparisons(monkeypatch):
     assert [(x[0], x[4]) for x in windows.met_in_block(rows, 46, 0.8)] == [(5001, 5000)] and calls[0] <= 1
 
 
+def test_windows_copies_met():
+    """Copies of a text take one pair each, across batches too; a row of the same id none; other texts meet the first copy only."""
+    rows = [(7, 0, d, t, 0, 60) for t, ds in ((1, (3, 3, *range(10, 40))), (2, (1,)), (3, (20, 50))) for d in ds]
+    batches = [windows._frame(list(np.array(rows[a : a + 9], np.int64).T), windows.WINDOWS) for a in range(0, len(rows), 9)]
+    got = [(r["doc"], r["twin"], r["s_doc"], r["s_twin"]) for b in windows._met(iter(batches)) for r in b.to_pylist()]
+    assert sorted(got) == sorted([(d, 1, 3, 1) for d in range(10, 40)] + [(50, 3, 20, 3), (3, 1, 1, 2), (20, 3, 1, 2), (20, 3, 3, 1)])
+
+
 def test_windows_odd_ids(spark):
     """Null ids and repeated ids with other texts: spans are cut from the text that has them."""
     g = random.Random(8)
